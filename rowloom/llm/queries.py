@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, syncmers
+from . import bpe, chat, langid, licenses, mixing, pii, quality, simhash, syncmers
 from .common import fold, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.from_turn_rows(table(spark, sf_dir, "conversations"))
+    turns = turns.unionByName(chat.canonical_turns(chat.probe(spark), "conv_id", "record"))
+    return chat.digests(chat.render(turns))
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -18,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -40,12 +54,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_syncmers": op4_syncmers,
     "op5_mixing": op5_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_license_scan": licenses.oracle()}
