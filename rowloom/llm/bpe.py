@@ -7,8 +7,10 @@ tree.  At each join a window around the cut is encoded again and grows until it
 agrees with what both sides hold:
 
 * between pre-tokens, the window starts at the last pre-token of the left side
-  and must reach a pre-token start that the right side has too; the splitting
-  pattern looks one character ahead at most, so all after it stays as it is;
+  that begins ``LOOK`` or more before the cut and must reach a pre-token start
+  that the right side has too, ``LOOK`` or more before its own end.  The
+  splitting pattern settles a pre-token's end within that distance (to tell
+  ``'ll`` from ``'``), so what lies before and after stays as it is;
 * within one pre-token that spans the cut, a window of the last tokens of the
   left and the first of the right must begin and end with the tokens the sides
   hold there.  A token sequence is a BPE encoding exactly if each adjacent pair
@@ -34,6 +36,8 @@ from tokenizers import Tokenizer
 from .common import map_texts
 
 LEAF_CHARS = 16_384
+#: Code points from a pre-token's start or end within which the pattern decides it.
+LOOK = 3
 _cache: dict[str, TreeCodec] = {}
 
 
@@ -112,14 +116,18 @@ class TreeCodec:
 
     def _join(self, text, left, right, cut, end):
         """Pre-tokens of text[left start:end] from those of its two sides."""
-        begin, starts = left[-1][0], [s for s, _ in right]
+        first = len(left) - 1
+        while first and left[first][0] > cut - LOOK:
+            first -= 1
+        begin, starts = left[first][0], [s for s, _ in right]
         ahead = 2
         while True:
             reach = starts[ahead] if ahead < len(starts) else end
             pieces = self.tok.pre_tokenizer.pre_tokenize_str(text[begin:reach])
             for _, (s, _) in pieces:
                 at = bisect_left(starts, begin + s)
-                if begin + s >= cut and at < len(starts) and starts[at] == begin + s:
+                sure = reach == end or begin + s <= reach - LOOK
+                if sure and begin + s >= cut and at < len(starts) and starts[at] == begin + s:
                     break
             else:
                 at = None if reach < end else len(starts)
@@ -133,11 +141,11 @@ class TreeCodec:
             if s >= stop:
                 break
             alone = e == (starts[1] if len(starts) > 1 else end)  # the right part is one pre-token
-            if s == begin and s < cut < e and e - s > self.leaf_chars and alone:
+            if first == len(left) - 1 and s == begin and s < cut < e and e - s > self.leaf_chars and alone:
                 middle.append((s, self._merge(left[-1][1], right[0][1])))
             else:
                 middle.append((s, self.tok.encode(text[s:e], add_special_tokens=False).ids))
-        return left[:-1] + middle + right[at:]
+        return left[:first] + middle + right[at:]
 
     def _merge(self, left: list[int], right: list[int]) -> list[int]:
         """Join the encodings of two adjacent parts of one pre-token."""

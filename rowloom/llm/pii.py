@@ -142,8 +142,18 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support:
     base = cut(base_spans(df, id_col, text_col))
     terms = term_spans(df, base, text_col, support, disclosure).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     both = base.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return both.select("doc_id", "text_hash", F.sort_array(F.concat(plain, F.coalesce("marked", F.array().cast("array<struct<s:int,k:int,e:int>>")))).alias("spans"))
+    return both.select("doc_id", "text_hash", merged(F.col("spans"), F.col("marked")).alias("spans"))
+
+
+def merged(spans: Column, marked: Column) -> Column:
+    """Base spans and marked terms as struct(s, k, e), by start then kind."""
+    plain = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    return F.sort_array(F.concat(plain, F.coalesce(marked, F.array().cast("array<struct<s:int,k:int,e:int>>"))))
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts without any pattern's match, whether valid or not."""
+    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in PATTERNS.values())), F.lit(False))
 
 
 def term_spans(df: DataFrame, base: DataFrame, text_col: str, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -164,7 +174,11 @@ def joined(spans: Column) -> Column:
 def report(found: DataFrame) -> DataFrame:
     """Counts by kind, digest of the base spans and list of all spans."""
     spans = F.col("spans")
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     base = F.filter(spans, lambda x: x["k"] < KINDS.index("term"))
     return found.select("doc_id", *counts[:-1], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), counts[-1])
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, langid, mixing, pii, simhash
+from .common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,6 +30,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(COLUMNS)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and the terms that give it away; every document stays."""
+    docs = docs.select(COLUMNS)
+    base = cut(pii.base_spans(docs))
+    terms = pii.term_spans(docs, base, "text")
+    some = base.join(terms, base["doc_id"].eqNullSafe(terms["doc_id"]) & (base["text_hash"] == terms["text_hash"]), "left")
+    # only documents with spans take part in the join: the rest of the texts is not shuffled
+    some = some.where(F.size("spans") > 0).select(
+        base["doc_id"].alias("__id"), base["text_hash"].alias("__hash"), pii.merged(F.col("spans"), F.col("marked")).alias("__spans")
+    ).dropDuplicates(["__id", "__hash"])
+    found = docs.withColumn("__found", pii.may_hold(F.col("text")))
+    rest = found.where("NOT __found").drop("__found")
+    hits = found.where("__found").drop("__found")
+    hits = hits.join(some, hits["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64("text") == some["__hash"]), "left")
+    clean = F.coalesce(pii.sanitise(F.col("text"), F.col("__spans")), F.col("text"))
+    hits = hits.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long"))
+    return rest.unionByName(hits.select(COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emit every document as often as the mix takes it."""
+    got = mixing.mix(docs, keep=tuple(COLUMNS)).where("copies > 0")
+    return got.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy")).select(COLUMNS)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded text."""
     return bpe.encode_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,5 +63,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language),
     ("simhash_near_dedup", near_duplicates),
+    ("pii_sanitise", personal_data),
+    ("source_mix", mixture),
     ("bpe_encoding", encoding),
 ]

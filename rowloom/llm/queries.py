@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, mixing, pii, quality, simhash, syncmers
+from . import bpe, chat, langid, licenses, mixing, pii, quality, simhash, syncmers, toxicity
 from .common import fold, table
 
 
@@ -14,6 +14,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = fold(F.col("doc_id"), toxicity.HELD_OUT[0]) == toxicity.HELD_OUT[1]
+    return got.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.from_turn_rows(table(spark, sf_dir, "conversations"))
     turns = turns.unionByName(chat.canonical_turns(chat.probe(spark), "conv_id", "record"))
@@ -55,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_syncmers": op4_syncmers,
     "op5_mixing": op5_mixing,
