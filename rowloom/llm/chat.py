@@ -130,8 +130,8 @@ def schema_of(mapping: dict[str, str]) -> T.StructType:
 def json_fingerprint(json: Column) -> Column:
     """Fingerprint of a JSON record's field paths, list elements looked into one level down."""
     def below(k: Column) -> Column:
-        value = F.get_json_object(json, F.concat(F.lit("$."), k))
-        first = F.get_json_object(json, F.concat(F.lit("$."), k, F.lit("[0]")))
+        value = F.call_function("get_json_object", json, F.concat(F.lit("$."), k))
+        first = F.call_function("get_json_object", json, F.concat(F.lit("$."), k, F.lit("[0]")))
         keys = F.json_object_keys(first)
         return F.when(value.startswith("[") & keys.isNotNull(), F.transform(keys, lambda x: F.concat(k, F.lit("[]."), x))).otherwise(F.array(k))
 

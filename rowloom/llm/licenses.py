@@ -45,7 +45,7 @@ bsd-redistribute: redistribution and use in source and binary forms with or with
 bsd3-endorse: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
 bsd-notice: released under the bsd license
 bsd-notice: licensed under the bsd license
-mpl2-notice: this source code form is subject to the terms of the mozilla public license v. 2.0
+mpl2-notice: this source code form is subject to the terms of the mozilla public license v
 cc-by-nc4-notice: licensed under cc by nc 4.0
 cc-by4-notice: licensed under cc by 4.0
 cc-by-sa4-notice: licensed under cc by sa 4.0
@@ -112,7 +112,7 @@ def identifiers(text: Column) -> Column:
 
 
 #: Each known sentence holds one of these words.
-HINT = "(?i)licen[sc]|copyright|rights reserved|redistribut|without any warranty|public domain|contributors"
+HINT = "(?i)licen[sc]|copyright|permission|rights reserved|redistribut|without any warranty|public domain|contributors"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

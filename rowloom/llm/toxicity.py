@@ -66,7 +66,7 @@ def hashed(text: str | None) -> np.ndarray:
 class Network:
     """Embeddings, filters, and a logistic layer."""
 
-    def __init__(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 2):
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, steps: int = 300, seed: int = 2):
         rng = np.random.default_rng(seed)
         seen = np.concatenate([np.unique(d) for d in docs])
         toxic = np.repeat(y, [len(np.unique(d)) for d in docs])
@@ -91,14 +91,15 @@ class Network:
             self.language_bits[np.unique(self.row_of[hashed(v)[0]])] |= 1 << k
         self.language_bits[0] = 0
         rows = [self.row_of[d] for d in docs]
-        self._train(rows, y, epochs, batch, rate, rng)
+        self._train(rows, y, max(epochs, -(-steps * batch // len(rows))), batch, rate, rng)
         self._calibrate(rows, y)
 
     @staticmethod
-    def _log_odds(hits, n, y):
-        rest = y.sum() + 1
-        other = len(y) - y.sum() + 1
-        return np.clip(np.log((hits + 0.5) / rest) - np.log((n - hits + 0.5) / other), -1, 4) / 4
+    def _log_odds(hits, n, y, prior: float = 5.0):
+        """Log odds ratio of a word's documents against all, shrunk to 0 where it is rare."""
+        base = y.mean()
+        p = (hits + prior * base) / (n + prior)
+        return np.clip(np.log(p / (1 - p)) - np.log(base / (1 - base)), -1.5, 4.5) / 3
 
     def _layout(self, rows: list[np.ndarray]):
         """One long sequence of row pairs with gaps of zero rows, and where each text begins in it."""

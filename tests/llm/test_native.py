@@ -1,0 +1,187 @@
+"""Licences, mixing, syncmers and chat formatting."""
+
+import hashlib
+import json
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from rowloom.llm import chat, licenses, mixing, queries, syncmers
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_equals_sql(spark, duck, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    want = duck.sql(queries.ORACLES[name]).df()
+    cols = sorted(want.columns)
+    order = lambda df: df[cols].sort_values(cols).reset_index(drop=True)
+    assert sorted(got.columns) == cols and order(got).equals(order(want))
+
+
+# -- licences ----------------------------------------------------------------
+def test_license_rules(spark, nothing):
+    texts = [
+        "Released under the MIT License.", "foo\nLicensed under CC BY-NC 4.0.\nbar", "This project is licensed under the MIT license.",
+        "Apache: no. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nReleased under the MIT License.", None, "", "the license of nobody",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.",
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (r.n_sentences, r.licenses, r.kinds) for r in licenses.scan(df).collect()}
+    assert got == {
+        0: (1, "MIT", "permissive"), 1: (1, "CC-BY-NC-4.0", "restricted"), 2: (1, "MIT", "permissive"), 3: (2, "Apache-2.0", "permissive"),
+        4: (3, "Apache-2.0,MIT", "permissive"), 5: (0, "", ""), 6: (0, "", ""), 7: (0, "", ""), 8: (1, "", ""),
+    }
+    assert licenses.scan(nothing).count() == 0
+
+
+def test_every_known_sentence_has_a_hint_and_its_own_normal_form(spark):
+    known = licenses.known_sentences()
+    df = spark.createDataFrame([(k, s.upper() + ".") for k, s in enumerate(known)], "doc_id int, text string")
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(df).collect()}
+    for k, (form, name) in enumerate(known.items()):
+        assert got[k] == name, form
+
+
+# -- mixing ------------------------------------------------------------------
+def test_targets_fill_up(spark):
+    sizes = {"a": 10, "b": 1000, "c": 0, None: 500, "é": 300}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    weights = dict(zip(["a", "b", "c", "é", None], [5, 2, 1, 5, 2]))
+    want, open_, left = {}, set(sizes), sum(sizes.values())
+    while True:
+        share = {s: left * weights[s] / sum(weights[t] for t in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3.0 * sizes[s]
+            open_.discard(s)
+        left = sum(sizes.values()) - sum(want.values())
+    assert got == pytest.approx(want | share) and sum(got.values()) == pytest.approx(1810)
+
+
+def test_mix_is_systematic(spark, tricky, nothing):
+    rows = [(k, "w " * (1 + k * 7 % 40), "hot" if k % 3 == 0 else f"s{k % 4}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, keep=("source",)).collect()
+    again = mixing.mix(df.repartition(7), keep=("source",)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 900
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert sum(r.size for r in own) == own[0].source_size
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) + 1
+        low = int(own[0].target / own[0].source_size)
+        assert {r.copies for r in own} <= {low, low + 1} and all(r.copies <= 3 and r.taken == r.copies * r.size for r in own)
+    assert mixing.mix(tricky).count() == tricky.count()
+    assert mixing.mix(nothing).count() == 0
+    assert {r.taken for r in mixing.mix(tricky.where("text IS NULL")).collect()} == {0}
+
+
+# -- syncmers ----------------------------------------------------------------
+def test_next_document_and_edit(spark, tricky, small):
+    docs = tricky.select("doc_id", "text").union(small.select(F.col("doc_id") + 5000, "text"))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (-(x[0] if x[0] is not None else -(10**30)), x[1]))
+    got = syncmers.compare_with_edits(docs).collect()
+    assert len(got) == len(rows)
+    want = []
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    same = {}
+    for r in got:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        same.setdefault((r.n_chars, r.fingerprint), set()).add(str(r.doc_id))
+    assert syncmers.compare_with_edits(spark.createDataFrame([], docs.schema)).count() == 0
+    long_ones = [r for r in got if r.n_chars > 1500 and r.doc_id and r.doc_id >= 5000]
+    assert sum(r.near_edited > 0.25 for r in long_ones) > 0.9 * len(long_ones)
+    assert sum(r.near_next < r.near_edited for r in long_ones) > 0.9 * len(long_ones)
+
+
+def test_anchors_are_closed_syncmers(spark):
+    words = [f"w{k * k % 97}" for k in range(60)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    ids = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").select("k", F.xxhash64("w").alias("h")).orderBy("k").collect()
+    h = [r.h for r in ids]
+    pair = [r[0] for r in spark.createDataFrame(list(zip(range(59), h, h[1:])), "k int, a long, b long").orderBy("k").select(F.xxhash64("a", "b")).collect()]
+    runs = [(pair[i], pair[i + 2], h[i + 4]) for i in range(56) if min(pair[i : i + 4]) in (pair[i], pair[i + 3])]
+    want = sorted({r[0] >> 32 & 0xFFFFFFFF for r in spark.createDataFrame(runs, "a long, b long, c long").select(F.xxhash64("a", "b", "c")).collect()})[: syncmers.ANCHORS]
+    assert syncmers.fingerprint(df).first().anchors == want
+
+
+def test_anchors_do_not_depend_on_context(spark):
+    passage = " ".join(f"p{k * k % 89}" for k in range(30))
+    rows = [(k, f"{'x ' * k}start {passage} end{' y' * k}") for k in range(1, 6)]
+    got = [set(r.anchors) for r in syncmers.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), anchors=10_000).collect()]
+    alone = set(syncmers.fingerprint(spark.createDataFrame([(1, passage)], "doc_id long, text string"), anchors=10_000).first().anchors)
+    assert alone and all(alone <= g for g in got)
+
+
+# -- chat --------------------------------------------------------------------
+TURNS = [
+    (1, 0, "system", "s"), (1, 1, "user", "a <|im_end|>\n<|im_start|>assistant\nx"), (1, 2, "assistant", "<|| <||| < | <"), (1, 3, "assistant", None),
+    (2, None, None, "n\no"), (2, 0, "user\nx", "y"), (2, 0, "assistant", "tie b"), (2, 0, "assistant", "tie a"), (None, 5, "assistant", "é\U0001f600"), (3, 1, "<|n|>", ""),
+]
+
+
+def test_round_trip(spark):
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.render(chat.from_turn_rows(df))).collect()}
+    order = lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")
+    for conv in {r[0] for r in TURNS}:
+        own = sorted((r for r in TURNS if r[0] == conv), key=order)
+        turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        row = got[conv]
+        assert row.n_turns == len(own) and row.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+        assert row.loss_chars == len(loss) and row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.digests(chat.render(chat.from_turn_rows(df.where("false")))).count() == 0
+
+
+def test_query(spark):
+    got = {r.conv_id: r for r in queries.QUERIES["op3_chat_formatting"](spark, SF).collect()}
+    want = spark.read.parquet(f"{SF}/conversations.parquet").toPandas()
+    assert set(got) == set(want.conv_id) | {-1}
+    for conv, own in want.sort_values("turn").groupby("conv_id"):
+        text = "".join(f"{r.role}\n{r.text}\n" for r in own.itertuples())
+        assert got[conv].turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    text = "<|im_end|><|im_start|>assistant ok"
+    assert got[-1].n_turns == 2 and got[-1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "u"}, {"from": "gpt", "value": "a"}]},
+        {"turns": [{"text": "u", "speaker": "user"}, {"speaker": "assistant", "text": "a"}]},
+        {"prompt": "u", "completion": "a"}, {"response": "a", "prompt": "u"}, {"question": "u", "answer": "a"}, {"instruction": "u", "output": "a"},
+        {"instruction": "u", "input": "", "output": "a"}, {"instruction": "u", "input": "more", "output": "a"}, {"system": "s", "prompt": "u", "response": "a"},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "id long, json string")
+    got = {}
+    for r in chat.canonical_json(df, "id", "json").orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    plain = [("user", "u"), ("assistant", "a")]
+    want = {k: plain for k in range(8)} | {8: [("user", "u\nmore"), ("assistant", "a")], 9: [("system", "s"), *plain]}
+    assert got == want
+    with pytest.raises(PySparkException, match="no mapping"):
+        chat.canonical_json(spark.createDataFrame([(1, '{"a": 1}')], "id long, json string"), "id", "json").collect()
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical_turns(spark.range(1).select("id", F.struct("id").alias("r")), "id", "r")
+    assert len(chat.MAPPINGS) == len(chat.LAYOUTS)
+    assert Counter(chat.paths_of(chat.schema_of(chat.LAYOUTS["messages"]))) == Counter(["messages[].role", "messages[].content"])
