@@ -25,6 +25,7 @@ are encoded whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 from bisect import bisect_left
 from collections.abc import Sequence
 
@@ -194,7 +195,9 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """``(doc_id, ids, decoded)``: ids of every whole text, and the text decoded from them.
 
     The definition is read on the driver and broadcast: its size is that of the
-    vocabulary file, whatever the input.
+    vocabulary file, whatever the input.  The library's own threads are used
+    only where a task owns several cores (``spark.task.cpus``); else tasks are
+    the parallelism and threads would contend for the same cores.
     """
     return _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest=False)
 
@@ -207,8 +210,10 @@ def encode_digest(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 def _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest):
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
+    threads = int(df.sparkSession.conf.get("spark.task.cpus", "1")) > 1
 
     def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = str(threads).lower()
         c = codec(shared.value, leaf_chars)
 
         def one(texts):
