@@ -18,6 +18,11 @@ agrees with what both sides hold:
 
 Special tokens in a text are taken out first, as the library does.
 
+Inside a leaf, pre-tokens are found by the definition's splitting pattern and
+their ids remembered (prose repeats its words), so that the library encodes
+each pre-token once per worker.  Python's pattern engine and the library agree
+on the code points in ``KNOWN``; a leaf with any other is split by the library.
+
 A null text counts as empty; an empty text has no tokens; texts of any length
 are encoded whole; an empty table gives an empty result.
 """
@@ -30,6 +35,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,6 +45,13 @@ from .common import map_texts
 LEAF_CHARS = 16_384
 #: Code points from a pre-token's start or end within which the pattern decides it.
 LOOK = 3
+#: Pre-tokens remembered by a worker, and the longest that are.
+MEMO, MEMO_CHARS = 600_000, 48
+#: Fixed value: the splitting pattern of byte-level definitions.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Code points whose class does not depend on the Unicode version in use.
+KNOWN = "\\x00-\\u0557\\u2010-\\u206f\\u20a0-\\u20bf\\u3000-\\u3029\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
+_other = regex.compile(f"[^{KNOWN}]")
 _cache: dict[str, TreeCodec] = {}
 
 
@@ -50,6 +63,7 @@ class TreeCodec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.leaf_chars, self.window = max(2, leaf_chars), max(1, window)
+        self.memo: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         size = self.tok.get_vocab_size(with_added_tokens=True)
         back = _byte_of_char()
@@ -60,15 +74,38 @@ class TreeCodec:
     # -- encoding -----------------------------------------------------------
     def encode_batch(self, texts: Sequence[str]) -> list[list[int]]:
         """Token ids of each text, equal to the library's without added special tokens."""
-        out: list[list[int]] = [[] for _ in texts]
-        short = [k for k, t in enumerate(texts) if t and len(t) <= self.leaf_chars]
-        for k, e in zip(short, self.tok.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-            out[k] = e.ids
+        return [_unpacked(x) for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: Sequence[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        plain = []
         for k, t in enumerate(texts):
             if len(t) > self.leaf_chars:
-                out[k] = self.encode_long(t)
+                out[k] = _packed(self.encode_long(t))
+            elif any(c in t for c in self.special) or _other.search(t):
+                out[k] = _packed(self.tok.encode(t, add_special_tokens=False).ids)
+            else:
+                plain.append(k)
+        pieces = [PATTERN.findall(texts[k]) for k in plain]
+        ids = self._remembered({p for x in pieces for p in x})
+        for k, x in zip(plain, pieces):
+            out[k] = b"".join(map(ids.__getitem__, x))
         return out
 
+    def _remembered(self, pieces: set[str]) -> dict[str, bytes]:
+        """A table that has the packed ids of all these pre-tokens."""
+        memo = self.memo
+        missing = [p for p in pieces if p not in memo]
+        if not missing:
+            return memo
+        if len(memo) + len(missing) > MEMO:
+            memo.clear()
+            missing = list(pieces)
+        got = {p: _packed(e.ids) for p, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False))}
+        memo.update((p, ids) for p, ids in got.items() if len(p) <= MEMO_CHARS)
+        return memo if all(len(p) <= MEMO_CHARS for p in missing) else memo | got
+
     def encode_long(self, text: str) -> list[int]:
         """Ids of one long text."""
         parts: list[str | int] = [text]
@@ -97,12 +134,10 @@ class TreeCodec:
             bounds = sorted({*bounds, *((a + b) // 2 for a, b in zip(bounds, bounds[1:]) if b - a > self.leaf_chars)})
         leaves = [text[a:b] for a, b in zip(bounds, bounds[1:])]
         level = []
-        for a, leaf, e in zip(bounds, leaves, self.tok.encode_batch(leaves, add_special_tokens=False)):
-            starts = [s for _, (s, _) in self.tok.pre_tokenizer.pre_tokenize_str(leaf)]
-            words: list[list[int]] = [[] for _ in starts]
-            for i, w in zip(e.ids, e.word_ids):
-                words[w].append(i)
-            level.append((a, [(a + s, ids) for s, ids in zip(starts, words)]))
+        split = [self._split(leaf) for leaf in leaves]
+        ids = self._remembered({leaf[s:e] for leaf, spans in zip(leaves, split) for s, e in spans})
+        for a, leaf, spans in zip(bounds, leaves, split):
+            level.append((a, [(a + s, _unpacked(ids[leaf[s:e]])) for s, e in spans]))
         ends = bounds[1:]
         while len(level) > 1:
             joined, new_ends = [], []
@@ -115,6 +150,12 @@ class TreeCodec:
             level, ends = joined, new_ends
         return level[0][1]
 
+    def _split(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the pre-tokens of a text without special tokens."""
+        if _other.search(text):
+            return [span for _, span in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        return [m.span() for m in PATTERN.finditer(text)]
+
     def _join(self, text, left, right, cut, end):
         """Pre-tokens of text[left start:end] from those of its two sides."""
         first = len(left) - 1
@@ -124,8 +165,8 @@ class TreeCodec:
         ahead = 2
         while True:
             reach = starts[ahead] if ahead < len(starts) else end
-            pieces = self.tok.pre_tokenizer.pre_tokenize_str(text[begin:reach])
-            for _, (s, _) in pieces:
+            pieces = self._split(text[begin:reach])
+            for s, _ in pieces:
                 at = bisect_left(starts, begin + s)
                 sure = reach == end or begin + s <= reach - LOOK
                 if sure and begin + s >= cut and at < len(starts) and starts[at] == begin + s:
@@ -137,7 +178,7 @@ class TreeCodec:
             ahead *= 2
         stop = starts[at] if at < len(starts) else end
         middle = []
-        for _, (s, e) in pieces:
+        for s, e in pieces:
             s, e = begin + s, begin + e
             if s >= stop:
                 break
@@ -171,6 +212,14 @@ class TreeCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.fromiter(ids, "<u4", len(ids)).tobytes()
+
+
+def _unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, "<u4").tolist()
+
+
 def _inside(raw: bytes) -> bool:
     """Whether a token starts inside a character's UTF-8 bytes."""
     return 0x80 <= raw[0] < 0xC0
@@ -217,13 +266,14 @@ def _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest):
         c = codec(shared.value, leaf_chars)
 
         def one(texts):
-            ids = c.encode_batch([t or "" for t in texts])
+            packed = c.encode_packed([t or "" for t in texts])
+            ids = list(map(_unpacked, packed))
             texts = [c.decode(i) for i in ids]
             if not digest:
                 return [ids, texts]
             return [
                 [len(i) for i in ids],
-                [hashlib.sha256(np.array(i, dtype="<u4").tobytes()).hexdigest() for i in ids],
+                [hashlib.sha256(x).hexdigest() for x in packed],
                 [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts],
             ]
 
