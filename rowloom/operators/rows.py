@@ -58,3 +58,13 @@ def pointers_to_index(pointers: DataFrame) -> DataFrame:
     after = F.lead("ptr").over(Window.orderBy("feature_idx"))
     spans = pointers.select("feature_idx", "ptr", after.alias("end")).where("end > ptr")
     return spans.select(F.explode(F.sequence(F.col("ptr"), F.col("end") - 1)).alias("position"), "feature_idx")
+
+
+def segment_starts(entries: DataFrame, starts: list[int]) -> DataFrame:
+    """``(start, feature_idx)``: the first feature with entries at or after each start, null if there is none.
+
+    One pass with one partial minimum per start; starts are as few as modalities.
+    """
+    least = [F.min(F.when(F.col("feature_idx") >= s, F.col("feature_idx"))) for s in starts]
+    rows = F.array(*[F.struct(F.lit(s).alias("start"), m.alias("feature_idx")) for s, m in zip(starts, least)])
+    return entries.agg(rows.alias("r")).select(F.inline("r"))

@@ -256,6 +256,14 @@ def masked_row(spark, sf_dir):
     return rows.masked_row(t.entries(spark, sf_dir, "gene"), ROW, t.cells_in_use(spark, sf_dir))
 
 
+_STARTS = [0, 50, 150, 10_000_000]
+
+
+@register("segment_starts", f"WITH {_ENTRIES} SELECT start, CAST((SELECT min(f) FROM gene WHERE f >= start) AS INT) AS feature_idx FROM (SELECT unnest({_STARTS}) AS start)")
+def segment_starts(spark, sf_dir):
+    return rows.segment_starts(t.entries(spark, sf_dir, "gene"), _STARTS)
+
+
 @register("column_sorted", f"WITH {_ENTRIES} SELECT f AS feature_idx, c AS cell_idx, x FROM gene")
 def column_sorted(spark, sf_dir):
     return memory.ordered(t.entries(spark, sf_dir, "gene"), by_row=False)
