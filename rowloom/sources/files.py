@@ -29,6 +29,20 @@ def names(spark: SparkSession, directory: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; the target's parent is made if it is missing."""
+    fs, p = _fs(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def uri(spark: SparkSession, path: str) -> str:
     """The form in which ``_metadata.file_path`` reports a file."""
     fs, p = _fs(spark, path)

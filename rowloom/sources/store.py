@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import META
+from . import files
 
 FORMAT_VERSION = 1
 
@@ -29,15 +30,50 @@ def write_matrix(entries: DataFrame, features: DataFrame, path: str, modality: s
     ``chunk_size`` is kept for callers' sake as a hint and only validated:
     Parquet sizes its own pages.
     """
-    if chunk_size < 1:
-        raise ValueError("chunk_size must be at least 1")
-    spark = entries.sparkSession
-    how = {"compression": codec(compression_level)}
+    check_layout(chunk_size, compression_level)
     keys = ("feature_idx", "cell_idx")
     dealt = entries.select(*[F.col(c).cast("int").alias(c) for c in (*keys, "x")])
     dealt = dealt.repartitionByRange(partitions, *keys) if partitions else dealt.repartitionByRange(*keys)
-    dealt.sortWithinPartitions(*keys).write.mode("overwrite").options(**how).parquet(f"{path}/entries")
-    features.select("feature_idx", "feature_id", "feature_name").coalesce(1).sortWithinPartitions("feature_idx").write.mode("overwrite").options(**how).parquet(f"{path}/features")
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", codec(compression_level)).parquet(f"{path}/entries")
+    write_tables(features, path, modality, n_cells, integer_id, compression_level)
+
+
+def write_matrices(entries: DataFrame, features: dict[str, DataFrame], out: str, n_cells: int, integer_id: int, chunk_size: int = 1000, compression_level: int = 3) -> dict[str, str]:
+    """Write all modalities of ``entries(modality, feature_idx, cell_idx, x)`` in one pass; their paths by modality.
+
+    One range shuffle deals all modalities; the partitioned output is then moved
+    into the stores, folder by folder.
+    """
+    check_layout(chunk_size, compression_level)
+    spark = entries.sparkSession
+    keys = ("modality", "feature_idx", "cell_idx")
+    staged = f"{out}/_staged"
+    dealt = entries.select("modality", *[F.col(c).cast("int").alias(c) for c in (*keys[1:], "x")])
+    dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt.write.mode("overwrite").option("compression", codec(compression_level)).partitionBy("modality").parquet(staged)
+    paths = {}
+    for m, own in features.items():
+        paths[m] = f"{out}/{m}.mat"
+        files.delete(spark, f"{paths[m]}/entries")
+        if files.exists(spark, f"{staged}/modality={m}"):
+            files.move(spark, f"{staged}/modality={m}", f"{paths[m]}/entries")
+        else:  # a modality without a single entry
+            spark.createDataFrame([], "feature_idx int, cell_idx int, x int").write.parquet(f"{paths[m]}/entries")
+        write_tables(own, paths[m], m, n_cells, integer_id, compression_level)
+    files.delete(spark, staged)
+    return paths
+
+
+def check_layout(chunk_size: int, compression_level: int) -> None:
+    if chunk_size < 1:
+        raise ValueError("chunk_size must be at least 1")
+    codec(compression_level)
+
+
+def write_tables(features: DataFrame, path: str, modality: str, n_cells: int, integer_id: int, compression_level: int) -> None:
+    """Features and metadata beside entries that are written already."""
+    spark = features.sparkSession
+    features.select("feature_idx", "feature_id", "feature_name").coalesce(1).sortWithinPartitions("feature_idx").write.mode("overwrite").option("compression", codec(compression_level)).parquet(f"{path}/features")
     nnz = spark.read.parquet(f"{path}/entries").count()  # answered from the footers
     n_features = spark.read.parquet(f"{path}/features").count()
     spark.createDataFrame([(FORMAT_VERSION, modality, n_features, n_cells, nnz, integer_id)], META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")

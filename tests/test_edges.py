@@ -105,6 +105,17 @@ def test_vector_map_errors(spark, tmp_path):
             ingest_mtx_dirs(spark, [d], str(tmp_path / "o"), grna_target_data_frame=spark.createDataFrame(pairs, "grna_id string, vector_id string"))
 
 
+@pytest.mark.parametrize("duplicates", ["sum", "error", "keep"])
+def test_collapse_under_each_duplicate_rule(spark, tmp_path, duplicates):
+    d = write(tmp_path / "d", FEATS, 2, [(1, 1, 7), (3, 1, 1), (4, 1, 2), (4, 2, 3)])
+    vectors = spark.createDataFrame([("r1", "v"), ("r2", "v")], "grna_id string, vector_id string")
+    got = ingest_mtx_dirs(spark, [d], str(tmp_path / "o"), grna_target_data_frame=vectors, duplicates=duplicates)
+    assert got["grna"].feature_ids == ["v"] and got["grna"][1].tolist() == [3, 3] and got["gene"][1].tolist() == [7, 0]
+    assert got["grna"].nnz == 2 and got["gene"].nnz == 1
+    again = ingest_mtx_dirs(spark, [d], str(tmp_path / "o"))  # replaces both stores
+    assert again["grna"].shape == (2, 2) and sorted(p.name for p in (tmp_path / "o").iterdir()) == ["cellwise_covariates", "gene.mat", "grna.mat"]
+
+
 def test_row_keys(spark, tmp_path):
     m = from_matrix(spark, [[1, 0], [0, 2], [3, 3]], ["a", "b", "b"], str(tmp_path / "m"))
     assert m["a"].tolist() == [1, 0] and m[3, :].tolist() == [3, 3] and m[np.int64(2)].tolist() == [0, 2]
