@@ -29,23 +29,36 @@ def _protein(lineitem: DataFrame) -> DataFrame:
     return kinds.withColumn("feature_idx", rank)
 
 
-def entries(spark: SparkSession, sf_dir: str, modality: str, lineitem: DataFrame | None = None) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, modality: str) -> DataFrame:
     """``(feature_idx, cell_idx, x)`` of one modality."""
-    li = read(spark, sf_dir, "lineitem") if lineitem is None else lineitem
-    if modality == "protein":
-        li = li.join(F.broadcast(_protein(read(spark, sf_dir, "lineitem"))), ["l_returnflag", "l_linestatus"])
-    else:
-        li = li.withColumn("feature_idx", F.col({"gene": "l_partkey", "grna": "l_suppkey"}[modality]).cast("int"))
-    li = li.select("feature_idx", F.col("l_orderkey").cast("int").alias("cell_idx"), F.col("l_quantity").cast("int").alias("x"))
-    return li.groupBy("feature_idx", "cell_idx").agg(F.sum("x").alias("x"))
+    return _summed(_lines(spark, sf_dir, [modality])).drop("modality")
 
 
 def all_entries(spark: SparkSession, sf_dir: str, modalities: list[str]) -> DataFrame:
-    """Entries of several modalities, dealt by cell once so that summing and covariates share the exchange."""
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    li = li.repartition("l_orderkey")
-    parts = [entries(spark, sf_dir, m, li).withColumn("modality", F.lit(m)) for m in modalities]
-    return reduce(DataFrame.unionByName, parts)
+    """``(modality, feature_idx, cell_idx, x)``: one scan, dealt by cell before it is summed.
+
+    What aggregates these entries by cell needs no exchange of its own.
+    """
+    return _summed(_lines(spark, sf_dir, modalities, dealt=True))
+
+
+def _lines(spark: SparkSession, sf_dir: str, modalities: list[str], dealt: bool = False) -> DataFrame:
+    """``(modality, feature_idx, cell_idx, x)`` per line and modality, not summed."""
+    li = read(spark, sf_dir, "lineitem")
+    columns = {"gene": F.col("l_partkey").cast("int"), "grna": F.col("l_suppkey").cast("int"), "protein": F.col("feature_idx")}
+    if "protein" in modalities:
+        li = li.join(F.broadcast(_protein(read(spark, sf_dir, "lineitem"))), ["l_returnflag", "l_linestatus"])
+    li = li.select(F.col("l_orderkey").cast("int").alias("cell_idx"), F.col("l_quantity").cast("int").alias("x"), *[columns[m].alias(m) for m in modalities])
+    if dealt:
+        li = li.repartition("cell_idx")
+    if len(modalities) == 1:
+        return li.select(F.lit(modalities[0]).alias("modality"), F.col(modalities[0]).alias("feature_idx"), "cell_idx", "x")
+    each = F.array(*[F.struct(F.lit(m).alias("modality"), F.col(m).alias("feature_idx")) for m in modalities])
+    return li.select(F.inline(each), "cell_idx", "x")
+
+
+def _summed(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("modality", "feature_idx", "cell_idx").agg(F.sum("x").alias("x"))
 
 
 def features(spark: SparkSession, sf_dir: str, modality: str) -> DataFrame:
