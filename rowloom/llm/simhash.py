@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
@@ -66,7 +66,7 @@ def fingerprint64(text: str | None, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of every row, as a signed long."""
+    """``(doc_id, text_hash, fp)``: the fingerprint of every row, as a signed long; null texts hash as empty."""
 
     def make():
         def one(texts):
@@ -75,7 +75,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return one
 
-    return map_texts(df, [F.col(id_col).alias("doc_id")], F.col(text_col), [("fp", "bigint")], make)
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return map_texts(df, [F.col(id_col).alias("doc_id"), text_hash.alias("text_hash")], F.col(text_col), [("fp", "bigint")], make)
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -221,13 +222,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the smallest id reachable."""
+    """``(doc_id, text_hash, fp, root, component_id)`` of every row.
+
+    ``root`` is a fingerprint that names the class, ``component_id`` the smallest id in it.
+    """
     docs = cut(fingerprints(df, id_col, text_col, words_per_shingle))
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(link_edges(fps)).withColumnRenamed("v", "fp")
     fps = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = fps.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return docs.join(fps.join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return docs.join(fps.join(classes, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, that stay: in each class the one with the smallest id, null last.
+
+    Rows that share an id are told apart by their text; of equal rows one stays.
+    """
+    null_id = F.lit(-(1 << 63)).cast("long")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", null_id).alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = near_duplicates(df, id_col, text_col).groupBy("root").agg(F.min(order).alias("k")).select("k.__id", "k.__hash")
+    rows = df.withColumn("__id", F.coalesce(F.col(id_col), null_id)).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # the join and the window deal rows by the same keys: one exchange of the texts
+    again = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
+    return rows.join(kept, ["__id", "__hash"], "left_semi").withColumn("__n", again).where("__n = 1").drop("__id", "__hash", "__n")
 
 
 def hex_fp(fp: Column) -> Column:
