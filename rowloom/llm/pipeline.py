@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, pii, simhash
-from .common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,28 +21,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class: the one with the smallest id."""
-    classes = simhash.near_duplicates(docs)
-    keep = classes.where("doc_id <=> component_id").select("doc_id").distinct()
-    # rows that repeat an id are told apart by their text
-    first = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(COLUMNS)
+    return simhash.one_of_each(docs.select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and the terms that give it away; every document stays."""
     docs = docs.select(COLUMNS)
-    base = cut(pii.base_spans(docs))
-    terms = pii.term_spans(docs, base, "text")
-    some = base.join(terms, base["doc_id"].eqNullSafe(terms["doc_id"]) & (base["text_hash"] == terms["text_hash"]), "left")
-    # only documents with spans take part in the join: the rest of the texts is not shuffled
-    some = some.where(F.size("spans") > 0).select(
-        base["doc_id"].alias("__id"), base["text_hash"].alias("__hash"), pii.merged(F.col("spans"), F.col("marked")).alias("__spans")
-    ).dropDuplicates(["__id", "__hash"])
+    some = pii.find(docs).where(F.size("spans") > 0)
+    some = some.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
+    # only texts that a pattern matches take part in the join; the others are not shuffled
     found = docs.withColumn("__found", pii.may_hold(F.col("text")))
     rest = found.where("NOT __found").drop("__found")
     hits = found.where("__found").drop("__found")
-    hits = hits.join(some, hits["doc_id"].eqNullSafe(some["__id"]) & (F.xxhash64("text") == some["__hash"]), "left")
+    hits = hits.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     clean = F.coalesce(pii.sanitise(F.col("text"), F.col("__spans")), F.col("text"))
     hits = hits.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long"))
     return rest.unionByName(hits.select(COLUMNS))
