@@ -98,6 +98,8 @@ def with_next(df: DataFrame, id_col: str, order: list[Column], cols: dict[str, s
         visit = F.create_map(*[x for k, v in hosts.items() for x in (F.lit(k).cast("long"), F.lit(v))])
         guests = df.where(F.col(id_col).isin(list(hosts))).withColumn("__range", visit[F.col(id_col)]).withColumn("__guest", F.lit(True))
         df = df.unionByName(guests)
+    # one partition per range: no range waits behind another in the same task
+    df = df.repartitionById(max(used, default=0) + 1, "__range")
     # the very first row visits the lowest range, after all of its rows; elsewhere ids order the guest last
     w = Window.partitionBy("__range").orderBy(F.col("__guest").asc(), F.col(id_col).desc_nulls_last(), *order)
     lead = F.lead(F.struct(*cols)).over(w)
