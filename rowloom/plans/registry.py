@@ -388,7 +388,8 @@ def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
     offsets = {r["modality"]: r["feature_offset"] for r in normalize.modality_offsets(feats).collect()}
     n_cells, width = t.read(spark, sf_dir, "orders").count(), 3
     step = -(-n_cells // width)
-    entries = t.all_entries(spark, sf_dir, names).withColumn("b", F.floor(F.col("cell_idx") / step))
+    entries = t.all_entries(spark, sf_dir, names).withColumn("b", F.floor(F.col("cell_idx") / step)).persist()
+    sizes = {r["b"]: r["n"] for r in entries.groupBy("b").agg(F.count("*").alias("n")).collect()}
     first = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
     line = F.concat_ws(" ", F.col("feature_idx") + first[F.col("modality")] + 1, F.col("cell_idx") - F.col("b") * step + 1, "x")
     table = feats.select("row_idx", F.concat_ws("\t", "feature_id", "feature_name", F.element_at(F.create_map(*[F.lit(x) for pair in raw.items() for x in pair]), F.col("modality"))).alias("value"))
@@ -397,13 +398,14 @@ def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
     for b in range(width):
         body = entries.where(F.col("b") == b).select(line.alias("value"))
         cells = min(step, n_cells - b * step)
-        head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), (f"{n_rows} {cells} {body.count()}",)], "value string")
+        head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), (f"{n_rows} {cells} {sizes.get(b, 0)}",)], "value string")
         d = f"{out}/batch_{b + 1}"
         for name, df in (("matrix.mtx", head.coalesce(1).union(body.coalesce(1)).coalesce(1)), ("features.tsv", table)):
             df.write.text(f"{d}/_{name}")
             _single_file(spark, f"{d}/_{name}", f"{d}/{name}")
         dirs.append(d)
     table.unpersist()
+    entries.unpersist()
     return dirs
 
 

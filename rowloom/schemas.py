@@ -18,14 +18,6 @@ COVARIATES = {
 MITO_PATTERN = "(?i)^MT-"
 
 MTX_BODY = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("x", T.DoubleType())])
-FEATURES = T.StructType([
-    T.StructField("modality", T.StringType()), T.StructField("feature_idx", T.IntegerType()), T.StructField("row_idx", T.IntegerType()),
-    T.StructField("feature_id", T.StringType()), T.StructField("feature_name", T.StringType()),
-])
-ENTRIES = T.StructType([
-    T.StructField("modality", T.StringType()), T.StructField("feature_idx", T.IntegerType()),
-    T.StructField("cell_idx", T.IntegerType()), T.StructField("x", T.IntegerType()),
-])
 BATCHES = T.StructType([
     T.StructField("batch_idx", T.IntegerType()), T.StructField("batch", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("cell_offset", T.LongType()), T.StructField("n_cells", T.LongType()),
