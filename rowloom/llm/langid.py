@@ -18,13 +18,15 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, unit_hash
+from .common import SLICE_ROWS, fold, map_texts, unit_hash
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -168,22 +170,42 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(x[order], [langs[k] for k in order])
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id alone if not given) with ``lang_pred`` and ``score`` of every whole text."""
+def _predictor(model: Model | None):
+    """Function from texts to (languages, scores)."""
+
+    def one(texts):
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        rows = [k for k, t in enumerate(texts) if model and t and _letter.search(t)]
+        if rows:
+            for k, lang, s in zip(rows, *model.predict(np.array([features(texts[k]) for k in rows]))):
+                langs[k], scores[k] = lang, float(s)
+        return [langs, scores]
+
+    return one
+
+
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, lang_pred, score)`` of every whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    out = [("lang_pred", "string"), ("score", "double")]
+    return map_texts(df, [F.col(id_col).alias("doc_id")], F.col(text_col), out, lambda: _predictor(shared.value))
 
-    def make():
-        m = shared.value
 
-        def one(texts):
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            rows = [k for k, t in enumerate(texts) if m and t and _letter.search(t)]
-            if rows:
-                for k, lang, s in zip(rows, *m.predict(np.array([features(texts[k]) for k in rows]))):
-                    langs[k], scores[k] = lang, float(s)
-            return [langs, scores]
+def recognised(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, whose text has a recognised language.
 
-        return one
+    Only the texts go to Python and only the languages come back; the other
+    columns stay in the JVM.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predict = _predictor(shared.value)
+        for b in batches:
+            got: list[str] = []
+            for at in range(0, len(b), SLICE_ROWS):
+                got += predict(b.slice(at, SLICE_ROWS).to_pylist())[0]
+            yield pa.array(got, pa.string())
 
-    cols = [F.col(c) for c in keep] if keep else [F.col(id_col).alias("doc_id")]
-    return map_texts(df, cols, F.col(text_col), [("lang_pred", "string"), ("score", "double")], make)
+    return df.where(language(F.col(text_col)) != UNKNOWN)

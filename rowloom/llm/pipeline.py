@@ -15,8 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which a language is recognised."""
-    got = langid.identify(docs, langid.fit(docs), keep=COLUMNS)
-    return got.where(F.col("lang_pred") != langid.UNKNOWN).select(COLUMNS)
+    return langid.recognised(docs.select(COLUMNS), langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

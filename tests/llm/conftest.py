@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+#: The columns of documents, then others under names that operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, key long, term string"
+EXTRA = ["fp", "root", "text_hash", "spans", "size", "bucket", "target", "copies", "keep", "ids", "anchors", "score", "lang_pred", "u", "v", "x", "y", "h", "left", "edited"]
 
 TRICKY = [
     None, "", " \t\n\x0b\x0c\r ", "x", "one two", "a b c", "a b c d", "A B C D e", "  x y",
@@ -39,12 +42,12 @@ def rows():
 
 @pytest.fixture(scope="session")
 def tricky(spark):
-    return spark.createDataFrame(rows(), SCHEMA)
+    return spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.lit(c) for c in EXTRA})
 
 
 @pytest.fixture(scope="session")
 def nothing(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).withColumns({c: F.lit(c) for c in EXTRA})
 
 
 @pytest.fixture(scope="session")
