@@ -30,7 +30,7 @@ from .common import SLICE_ROWS, fold, map_texts, unit_hash
 
 UNKNOWN = "und"
 DIMS = 4096
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 HELD_OUT = (3, 1)
 
 #: Language families by ISO 639-1 code; any other code is a family of its own.
@@ -82,7 +82,7 @@ def features(text: str) -> np.ndarray:
     return x / max(np.linalg.norm(x), 1e-9)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.ndarray:
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -> np.ndarray:
     """Linear SVM with squared hinge loss, classes weighted equally; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
