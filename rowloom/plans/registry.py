@@ -15,7 +15,7 @@ from ..functions.scalars import batch_of_cell, is_mito, modality_name
 from ..matrix import open_matrix
 from ..operators import collapse, normalize, pairs, rows
 from ..operators.covariates import covariates
-from ..sources import memory, store
+from ..sources import files, memory, store
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,10 +411,8 @@ def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
 
 def _single_file(spark: SparkSession, folder: str, name: str) -> None:
     """Rename the one part file of ``folder`` to ``name`` and drop the folder."""
-    from ..sources.files import _fs, names
-
-    fs, src = _fs(spark, folder)
-    (part,) = [n for n in names(spark, folder) if n.startswith("part-")]
+    fs, src = files.filesystem(spark, folder)
+    (part,) = [n for n in files.names(spark, folder) if n.startswith("part-")]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs.rename(hadoop.Path(f"{folder}/{part}"), hadoop.Path(name))
     fs.delete(src, True)
@@ -450,12 +448,10 @@ def example_roundtrip(spark, sf_dir):
 
 def _share(spark: SparkSession, directories: list[str], out: str) -> list[str]:
     """Copy small local directories into the shared folder."""
-    from ..sources.files import _fs
-
     moved = []
     for d in directories:
         target = f"{out}/{d.rstrip('/').rsplit('/', 1)[1]}"
-        fs, p = _fs(spark, target)
+        fs, p = files.filesystem(spark, target)
         fs.mkdirs(p.getParent())
         fs.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{d}"), p)
         moved.append(target)

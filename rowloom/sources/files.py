@@ -7,31 +7,32 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the path as its object."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
 def is_dir(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def names(spark: SparkSession, directory: str) -> list[str]:
     """Names of the files in a directory, sorted."""
-    fs, p = _fs(spark, directory)
+    fs, p = filesystem(spark, directory)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a folder; the target's parent is made if it is missing."""
-    fs, p = _fs(spark, source)
+    fs, p = filesystem(spark, source)
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     fs.mkdirs(to.getParent())
     if not fs.rename(p, to):
@@ -39,20 +40,20 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     fs.delete(p, True)
 
 
 def uri(spark: SparkSession, path: str) -> str:
     """The form in which ``_metadata.file_path`` reports a file."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     text = fs.makeQualified(p).toUri().toString()
     return "file:/" + text[len("file:///") :] if text.startswith("file:///") else text
 
 
 def lines(spark: SparkSession, path: str) -> Iterator[str]:
     """Lines of a plain or compressed text file, read as far as asked for."""
-    fs, p = _fs(spark, path)
+    fs, p = filesystem(spark, path)
     jvm = spark.sparkContext._jvm
     stream = fs.open(p)
     try:
