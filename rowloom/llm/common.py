@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +62,26 @@ def unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application.
+
+    Python workers import the operators by name; they need not share the
+    driver's working folder or path.
+    """
+    root = Path(__file__).resolve().parent.parent
+    if spark.sparkContext.applicationId in _shipped or not root.is_dir():  # a zip: submitted with the job
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="rowloom-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)  # read on the driver alone; Spark hands it to the executors
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def map_texts(
     df: DataFrame,
     keep: Sequence[Column],
@@ -73,6 +95,7 @@ def map_texts(
     and returns a function from a list of texts to one list of values for each
     ``out`` column (name, Spark type).  Memory is bounded by an Arrow batch.
     """
+    ship(df.sparkSession)
     src = df.select(*keep, text.cast("string").alias("__text"))
     kept = src.drop("__text")
     fields = ", ".join(

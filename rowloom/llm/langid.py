@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, fold, map_texts, unit_hash
+from .common import SLICE_ROWS, fold, map_texts, ship, unit_hash
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -197,6 +197,7 @@ def recognised(df: DataFrame, model: Model | None, text_col: str = "text") -> Da
     Only the texts go to Python and only the languages come back; the other
     columns stay in the JVM.
     """
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, ship
 
 SEED = 42
 MAX_DIFF = 4
@@ -185,6 +185,7 @@ def link_edges(fps: DataFrame) -> DataFrame:
         if parts_k:
             yield flush(np.concatenate(parts_k), np.concatenate(parts_f))
 
+    ship(fps.sparkSession)
     rows = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint")
     rows = rows.repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(search, "u bigint, v bigint").distinct()
