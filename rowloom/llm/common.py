@@ -74,7 +74,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     if spark.sparkContext.applicationId in _shipped or not root.is_dir():  # a zip: submitted with the job
         return
-    archive = os.path.join(tempfile.mkdtemp(prefix="rowloom-code-"), f"{root.name}.zip")
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="rowloom-code-")), f"{root.name}.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
