@@ -43,3 +43,16 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 1500
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_covariates_shuffle_the_lines_once(spark):
+    plan = registry.QUERIES["cellwise_covariates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "SortAggregate" not in plan and "Python" not in plan
+    lines = [x for x in plan.splitlines() if "lineitem.parquet" in x and "l_quantity" in x]
+    assert len(lines) == 1
+
+
+def test_no_query_of_the_engine_runs_python(spark):
+    for name in ("pair_qc_nt", "collapsed_covariates", "nt_nonzero_matrix", "row_ptr", "grna_assignment"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
