@@ -15,7 +15,8 @@ from ..functions.scalars import batch_of_cell, is_mito, modality_name
 from ..matrix import open_matrix
 from ..operators import collapse, normalize, pairs, rows
 from ..operators.covariates import covariates
-from ..sources import files, memory, store
+from ..schemas import MODALITIES
+from ..sources import files, memory, mtx, store
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,43 +382,23 @@ def matrix_roundtrip(spark, sf_dir):
 
 
 def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
-    """Driver tables as Matrix Market directories, one per batch, written by Spark."""
+    """Driver tables as three Matrix Market directories, each with a third of the cells."""
     names = ["gene", "grna", "protein"]
-    raw = {"gene": "Gene Expression", "grna": "CRISPR Guide Capture", "protein": "Antibody Capture"}
-    feats = _indexed_features(spark, sf_dir)
-    offsets = {r["modality"]: r["feature_offset"] for r in normalize.modality_offsets(feats).collect()}
+    known = F.create_map(*[F.lit(x) for raw, name in MODALITIES.items() for x in (name, raw)])
+    feats = _indexed_features(spark, sf_dir).withColumn("raw", known[F.col("modality")]).persist()
     n_cells, width = t.read(spark, sf_dir, "orders").count(), 3
     step = -(-n_cells // width)
-    entries = t.all_entries(spark, sf_dir, names).withColumn("b", F.floor(F.col("cell_idx") / step)).persist()
-    sizes = {r["b"]: r["n"] for r in entries.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    first = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    line = F.concat_ws(" ", F.col("feature_idx") + first[F.col("modality")] + 1, F.col("cell_idx") - F.col("b") * step + 1, "x")
-    table = feats.select("row_idx", F.concat_ws("\t", "feature_id", "feature_name", F.element_at(F.create_map(*[F.lit(x) for pair in raw.items() for x in pair]), F.col("modality"))).alias("value"))
-    table = table.orderBy("row_idx").select("value").coalesce(1).cache()
-    n_rows, dirs = table.count(), []
+    entries = t.all_entries(spark, sf_dir, names).join(feats.select("modality", "feature_idx", "row_idx"), ["modality", "feature_idx"]).persist()
+    dirs = []
     for b in range(width):
-        body = entries.where(F.col("b") == b).select(line.alias("value"))
-        cells = min(step, n_cells - b * step)
-        head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), (f"{n_rows} {cells} {sizes.get(b, 0)}",)], "value string")
-        d = f"{out}/batch_{b + 1}"
-        for name, df in (("matrix.mtx", head.coalesce(1).union(body.coalesce(1)).coalesce(1)), ("features.tsv", table)):
-            df.write.text(f"{d}/_{name}")
-            _single_file(spark, f"{d}/_{name}", f"{d}/{name}")
-        dirs.append(d)
-    table.unpersist()
+        own = entries.where(F.floor(F.col("cell_idx") / step) == b).select("row_idx", (F.col("cell_idx") - b * step).alias("cell_idx"), "x")
+        dirs.append(f"{out}/batch_{b + 1}")
+        mtx.write_directory(own, feats, min(step, n_cells - b * step), dirs[-1], gz=b > 0)
     entries.unpersist()
+    feats.unpersist()
     return dirs
 
 
-def _single_file(spark: SparkSession, folder: str, name: str) -> None:
-    """Rename the one part file of ``folder`` to ``name`` and drop the folder."""
-    fs, src = files.filesystem(spark, folder)
-    (part,) = [n for n in files.names(spark, folder) if n.startswith("part-")]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs.rename(hadoop.Path(f"{folder}/{part}"), hadoop.Path(name))
-    fs.delete(src, True)
-
-
 @register("mtx_roundtrip_covariates", f"""WITH {_ENTRIES},{_GENE},{_GRNA},{_PROTEIN},
 n AS (SELECT count(*) AS n, (count(*) + 2) // 3 AS step FROM orders)
 SELECT cell_idx, {_GENE_COLS.replace("CAST(g.m AS DOUBLE)", "CAST(0 AS DOUBLE)")},

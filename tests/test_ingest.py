@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom import from_matrix, ingest_mtx_dirs, open_matrix, write_example
 from rowloom.operators import rows
+from rowloom.sources import mtx
 from rowloom.sources.memory import Coo, Csc, Csr, index_to_pointers, pointers_to_index
 
 SEEDS = range(1, 9)
@@ -109,3 +110,18 @@ def test_row_lookup_is_pushed_down(spark, tmp_path):
     masked = rows.masked_row(m.entries, 1, m.cells.where(F.col("cell_idx") > 2))
     assert "ReadSchema: struct<feature_idx:int,cell_idx:int>" in masked._jdf.queryExecution().toString()
     assert sorted(r.cell_idx for r in masked.collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_spark_writer_round_trip(spark, tmp_path, gz):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (7, 9))
+    i, j = np.nonzero(x)
+    entries = spark.createDataFrame([(int(a), int(b), int(x[a, b])) for a, b in zip(i, j)], "row_idx int, cell_idx int, x int")
+    feats = spark.createDataFrame([(k, f"g{k}", f"n{k}", "Gene Expression" if k < 4 else "Antibody Capture") for k in range(7)], "row_idx int, feature_id string, feature_name string, raw string")
+    for _ in range(2):  # the second run replaces the first
+        mtx.write_directory(entries, feats, 9, str(tmp_path / "d"), gz=gz)
+    (found,) = mtx.discover(spark, [str(tmp_path / "d")])
+    assert found.header == mtx.Header(7, 9, len(i)) and found.matrix.endswith(".gz") == gz
+    got = ingest_mtx_dirs(spark, [str(tmp_path / "d")], str(tmp_path / "out"))
+    assert np.array_equal(dense(got["gene"]), x[:4]) and np.array_equal(dense(got["protein"]), x[4:])
