@@ -1,13 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
 A text is cut into words (a word of over ``PIECE`` code points into pieces of
-that length).  A run of ``K`` words is a closed syncmer if, among its inner runs
-of ``S`` words, the one with the smallest hash is the first or the last.  That
-depends on the run alone, not on what stands around it, so an unchanged passage
-keeps its anchors wherever it moves.  The fingerprint holds the ``ANCHORS``
+that length); a text of under ``SHORT`` code points, which has too few words for
+anchors, into single code points without white space.  A run of ``K`` of these
+pieces is a closed syncmer if, among its inner runs of ``S`` pieces, the one with
+the smallest hash is the first or the last.  That depends on the run alone, not
+on what stands around it, so an unchanged passage keeps its anchors wherever it
+moves.  The fingerprint holds the ``ANCHORS``
 smallest 32-bit hashes of the text's distinct syncmers, as 8 hex digits each; a
-text of under ``K`` words has its whole sequence as the only anchor, a text
-without words an empty fingerprint.
+text of under ``K`` pieces has its whole sequence as the only anchor, a text
+of white space only an empty fingerprint.
 
 Likeness is the share of anchors two texts have in common (Dice), estimated over
 the smallest hashes of their union; it is exact if neither text has more than
@@ -26,6 +28,7 @@ K = 5
 S = 2
 ANCHORS = 64
 PIECE = 16
+SHORT = 200
 
 
 def with_anchors(df: DataFrame, text_col: str, out_col: str, anchors: int = ANCHORS) -> DataFrame:
@@ -33,7 +36,10 @@ def with_anchors(df: DataFrame, text_col: str, out_col: str, anchors: int = ANCH
     # Every array that a lambda reads is a column read twice or more, so that
     # the optimizer does not move its making into the lambda.
     h, s2 = F.col("__h"), F.col("__s")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    text = F.col(text_col)
+    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    points = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]"), F.lit(0))
+    words = F.when(F.char_length(text) < SHORT, points).otherwise(words)
     df = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn("__s", F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
 

@@ -107,13 +107,15 @@ def test_next_document_and_edit(spark, tricky, small):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         same.setdefault((r.n_chars, r.fingerprint), set()).add(str(r.doc_id))
     assert syncmers.compare_with_edits(spark.createDataFrame([], docs.schema)).count() == 0
+    short_ones = [r for r in got if 20 < r.n_chars < 150 and r.doc_id and r.doc_id >= 5000]
+    assert all(r.near_next < r.near_edited for r in short_ones)
     long_ones = [r for r in got if r.n_chars > 1500 and r.doc_id and r.doc_id >= 5000]
     assert sum(r.near_edited > 0.25 for r in long_ones) > 0.9 * len(long_ones)
     assert sum(r.near_next < r.near_edited for r in long_ones) > 0.9 * len(long_ones)
 
 
 def test_anchors_are_closed_syncmers(spark):
-    words = [f"w{k * k % 97}" for k in range(60)]
+    words = [f"word{k * k % 97}" for k in range(60)]
     df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     ids = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").select("k", F.xxhash64("w").alias("h")).orderBy("k").collect()
     h = [r.h for r in ids]
