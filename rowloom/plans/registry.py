@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -389,11 +390,14 @@ def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
     n_cells, width = t.read(spark, sf_dir, "orders").count(), 3
     step = -(-n_cells // width)
     entries = t.all_entries(spark, sf_dir, names).join(feats.select("modality", "feature_idx", "row_idx"), ["modality", "feature_idx"]).persist()
-    dirs = []
-    for b in range(width):
+
+    def one(b: int) -> str:
         own = entries.where(F.floor(F.col("cell_idx") / step) == b).select("row_idx", (F.col("cell_idx") - b * step).alias("cell_idx"), "x")
-        dirs.append(f"{out}/batch_{b + 1}")
-        mtx.write_directory(own, feats, min(step, n_cells - b * step), dirs[-1], gz=b > 0)
+        mtx.write_directory(own, feats, min(step, n_cells - b * step), f"{out}/batch_{b + 1}", gz=b > 0)
+        return f"{out}/batch_{b + 1}"
+
+    with ThreadPoolExecutor(width) as pool:  # each body is one task, so write the batches side by side
+        dirs = list(pool.map(one, range(width)))
     entries.unpersist()
     feats.unpersist()
     return dirs
