@@ -1,7 +1,7 @@
 """Licence recognition by sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and after full stops, each sentence is
-normalised (lower case, everything but letters, digits and ``+`` and ``.`` inside
+A sentence begins and ends at a line end or after a full stop; a known one may run
+over line ends, whatever comment marks stand there. Sentences are normalised (lower case, everything but letters, digits and ``+`` and ``.`` inside
 numbers becomes one space), and known licence sentences are mapped to
 identifiers.  A rule is an ordered list of identifiers; it matches where its
 identifiers follow each other among the document's recognised sentences, with
@@ -80,18 +80,59 @@ CC0-1.0 permissive: cc0-notice
 Proprietary restricted: reserved
 """
 
-_CUT = r"\n|(?<=[.!?;:])[\x20\t]"
+#: Sentences and variants of real texts; the SQL twin does not know them.
+FULL_SENTENCES = """
+apache-notice: licensed under the apache license version 2.0 the license
+apache-copy-at: you may obtain a copy of the license at http www apache org licenses license 2.0
+apache-copy-at: you may obtain a copy of the license at https www apache org licenses license 2.0
+apache-as-is: unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+mit-title: the mit license mit
+mit-grant: permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+gpl3-free: this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl2-free: this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+lgpl3-notice: this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
+bsd3-endorse: neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd3-endorse: neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+mit-notice: spdx license identifier mit
+apache-notice: spdx license identifier apache 2.0
+gpl3-notice: spdx license identifier gpl 3.0
+gpl3-notice: spdx license identifier gpl 3.0 only
+gpl3-notice: spdx license identifier gpl 3.0 or later
+gpl2-notice: spdx license identifier gpl 2.0
+gpl2-notice: spdx license identifier gpl 2.0 only
+gpl2-notice: spdx license identifier gpl 2.0 or later
+lgpl3-notice: spdx license identifier lgpl 3.0 only
+lgpl3-notice: spdx license identifier lgpl 3.0 or later
+mpl2-notice: spdx license identifier mpl 2.0
+spdx-bsd3: spdx license identifier bsd 3 clause
+spdx-bsd2: spdx license identifier bsd 2 clause
+cc0-notice: spdx license identifier cc0 1.0
+"""
+
+#: Rules of real texts, before and after the others; the SQL twin does not know them.
+FIRST_RULES = """
+BSD-3-Clause permissive: reserved bsd-redistribute bsd3-endorse
+BSD-2-Clause permissive: reserved bsd-redistribute
+"""
+LAST_RULES = """
+GPL-3.0 copyleft: gpl3-free gpl-warranty
+GPL-3.0 copyleft: gpl3-free
+GPL-2.0 copyleft: gpl2-free gpl-warranty
+GPL-2.0 copyleft: gpl2-free
+BSD-3-Clause permissive: spdx-bsd3
+BSD-2-Clause permissive: spdx-bsd2
+"""
 
 
-def known_sentences() -> dict[str, str]:
+def known_sentences(table: str = SENTENCES) -> dict[str, str]:
     """Normal form -> identifier."""
-    return {form: name for name, form in (x.split(": ", 1) for x in SENTENCES.strip().splitlines())}
+    return {form: name for name, form in (x.split(": ", 1) for x in table.strip().splitlines())}
 
 
-def rules() -> list[tuple[str, str, list[str]]]:
+def rules(table: str = RULES) -> list[tuple[str, str, list[str]]]:
     """(licence, kind, identifiers) in order."""
     out = []
-    for line in RULES.strip().splitlines():
+    for line in table.strip().splitlines():
         head, ids = line.split(": ", 1)
         licence, kind = head.split()
         out.append((licence, kind, ids.split()))
@@ -100,15 +141,18 @@ def rules() -> list[tuple[str, str, list[str]]]:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
-    known = F.create_map(*[F.lit(v) for pair in known_sentences().items() for v in pair])
-
-    def normal(s: Column) -> Column:
-        s = F.regexp_replace(F.lower(s), r"[^a-z0-9+.]+|\.(?![0-9])|\.$", " ")
-        return F.trim(F.regexp_replace(s, r" {2,}", " "))
-
-    # only sentences with a word that every known one has can match
-    maybe = F.filter(F.split(text, _CUT, -1), lambda s: s.rlike(HINT))
-    return F.array_compact(F.transform(maybe, lambda s: F.element_at(known, normal(s))))
+    forms = known_sentences() | known_sentences(FULL_SENTENCES)
+    known = F.create_map(*[F.lit(v) for pair in forms.items() for v in pair])
+    # \x01 ends a sentence, \x02 stands after ; or :, which like a line end may fall within one
+    s = F.regexp_replace(F.lower(text), r"(?<=[.!?])[\x20\t]", "\x01")
+    s = F.regexp_replace(s, r"(?<=[;:])[\x20\t]", "\x02")
+    s = F.regexp_replace(s, r"[^a-z0-9+.\n\x01\x02]+|\.(?![0-9])", " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r" {2,}", " "), r" ?([\n\x01\x02]) ?", "$1"))
+    s = F.regexp_replace(s, r"\n{2,}", "\x01")
+    any_form = "|".join(f.replace("+", r"\+").replace(".", r"\.").replace(" ", r"[ \n\x02]+") for f in sorted(forms, key=len, reverse=True))
+    found = F.regexp_extract_all(s, F.lit(rf"(?<![^\n\x01\x02])(?:{any_form})(?![^\n\x01\x02])"), F.lit(0))
+    ids = F.transform(found, lambda x: F.element_at(known, F.regexp_replace(x, r"[ \n\x02]+", " ")))
+    return F.when(text.rlike(HINT), ids)
 
 
 #: Each known sentence holds one of these words.
@@ -123,20 +167,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     ids = F.coalesce(identifiers(F.coalesce(F.col(text_col), F.lit(""))), F.array().cast("array<string>"))
     df = df.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
     df = df.withColumn("left", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))
-    hits = []
-    for k, (_, _, rule) in enumerate(rules()):
+    hits, every = [], rules(FIRST_RULES) + rules() + rules(LAST_RULES)
+    for k, (_, _, rule) in enumerate(every):
         form = F.lit(" " + "  ".join(rule) + " ")
         df = df.withColumn(f"hit{k}", F.contains("left", form)).withColumn("left", F.replace(F.col("left"), form, F.lit(" | ")))
         hits.append(f"hit{k}")
 
     def names(of: int) -> Column:
-        return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(h), F.lit(r[of])) for h, r in zip(hits, rules())]))), ",")
+        return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(h), F.lit(r[of])) for h, r in zip(hits, every)]))), ",")
 
     return df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), names(0).alias("licenses"), names(1).alias("kinds"))
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, for sentences of one line and the forms and rules of ``SENTENCES`` and ``RULES``."""
     known = ", ".join(f"('{form}', '{name}')" for form, name in known_sentences().items())
     left, cols = "' ' || array_to_string(ids, '  ') || ' '", []
     steps = [f"s0 AS (SELECT doc_id, ids, {left} AS rest FROM found)"]
