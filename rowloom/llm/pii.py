@@ -4,27 +4,38 @@ Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone
 numbers.  Patterns use possessive runs and look-behinds, which find the same
 leftmost matches as the plain forms but in time linear in the text.
 
-The method adds terms by information-theoretic sanitisation.  Every base span is
-a protected entity of its kind; the terms (letter runs of three or more code
-points) within ``CONTEXT`` code points of it co-occur with it.  For a term t and
-a kind k, PMI(t; k) = log p(k|t) / p(k) is compared with the information of the
-kind itself, -log p(k): their ratio is the disclosure, 1 if the term always
-announces the kind.  A term counts near at least ``SUPPORT`` different entities
-and with a disclosure of ``DISCLOSURE`` or more is marked wherever it stands in
-such a context.  All counts are over the whole corpus.
-
-Null texts count as empty; repeated rows get equal spans; rows are told apart by
-id and text, so ids may repeat or be null; an empty table gives an empty result.
+The method adds terms by information-theoretic sanitisation.  What is protected
+is each entity (the value of a base span) and each kind; a term (a run of three
+or more letters, lower-cased) co-occurs with an entity if it stands within
+``CONTEXT`` code points of it, and with a kind if it stands in the same text.
+For a term t and a protected x, PMI(t; x) = log p(x|t) / p(x) is compared with
+the information of x itself, -log p(x): their ratio is the disclosure, 1 if the
+term always announces x.  p counts rows of the whole corpus, on both sides
+alike, so repeating every row changes nothing; the evidence must come from
+``SUPPORT`` different texts, for a kind also from as many entities.  A term with
+a disclosure of ``DISCLOSURE`` or more is marked wherever it stands in the
+corpus.  It is generalised to its first ``PREFIX`` letters if these, taken
+together over all terms that begin so, stay below the threshold, else removed.
+
+Null texts count as empty; empty texts have no spans; a text of any length takes
+time linear in it and its spans; spans that begin together follow by kind, and
+of overlapping spans the first names the replacement; repeated rows get equal
+spans, and rows are told apart by id and text, so ids may repeat or be null; an
+empty table gives an empty result; columns other than id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
+_TERM = KINDS.index("term")
 _L = "A-Za-z0-9._%+-"
 #: Equivalents of the contract's patterns without backtracking over long runs.
 PATTERNS = {
@@ -35,12 +46,35 @@ PATTERNS = {
 }
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Every match holds this: an at sign, a plus before a digit, or four digits with single marks between.
-MAY = r"@|\+[0-9]|(?:[0-9][ .-]?){3}[0-9]"
-CONTEXT = 48
+CONTEXT = 160
 TERM = r"\p{L}{3,}"
 SUPPORT = 3
-DISCLOSURE = 0.8
+DISCLOSURE = 0.9
+PREFIX = 3
+#: Accepted terms are broadcast up to this many, and code points in all; beyond, Spark shuffles the join.
+BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 4_000_000
+#: Elements of a running total handled at once.
+BLOCK = 256
+_SPAN = "struct<s:int,k:int,e:int,entity:string,near:array<string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Exclusive running totals of an int array under an associative ``op`` with unit 0, block by block."""
+    def scan(x: Column, first: Column, get: Callable[[Column], Column]) -> Column:
+        return F.aggregate(x, F.array(first), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), get(v)))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    inner = F.transform(blocks, lambda x: scan(x, F.lit(0), lambda v: v))
+    each = let(inner, lambda parts: let(
+        scan(parts, F.lit(0), lambda part: F.element_at(part, -1)),
+        lambda bases: F.flatten(F.transform(parts, lambda part, b: F.transform(F.slice(part, F.lit(1), F.size(part) - 1), lambda v: op(F.get(bases, b), v)))),
+    ))
+    return F.when(F.size(values) > 0, each).otherwise(F.array().cast("array<int>"))
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -54,117 +88,144 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, kind: str) -> tuple[Column, Column]:
-    """(matches, texts between them); both empty if there is no match."""
-    none = F.array().cast("array<string>")
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    if NEEDS[kind]:
-        matches = F.when(F.contains(text, F.lit(NEEDS[kind])), matches).otherwise(none)
-    return F.coalesce(matches, none), F.split(text, PATTERNS[kind], -1)
+def located(text: Column, pattern: str, one: Callable[[Column, Column, Column, Column, Column], Column]) -> Column:
+    """``one(match, start, end, text before, text after)`` of each match, in order; null if there is none."""
+    def spread(x: Column) -> Column:
+        lengths = F.transform(x["m"], lambda m, i: F.char_length(m) + F.char_length(F.get(x["p"], i)))
 
+        def at(m: Column, i: Column, starts: Column) -> Column:
+            before = F.get(x["p"], i)
+            s = F.get(starts, i) + F.char_length(before)
+            return one(m, s, s + F.char_length(m), before, F.get(x["p"], i + 1))
 
-def _spans(kind: str, m: Column, p: Column) -> Column:
-    """Valid spans struct(s, k, e, entity, before, after) from matches and the texts between them."""
-    number = KINDS.index(kind)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,entity:string,before:string,after:string>>").alias("out"))
+        return let(running(lengths, lambda a, b: a + b), lambda starts: F.transform(x["m"], lambda m, i: at(m, i, starts)))
 
-    def add(acc: Column, i: Column) -> Column:
-        before, match, after = F.get(p, i), F.get(m, i), F.get(p, i + 1)
-        s = acc["at"] + F.char_length(before)
-        e = s + F.char_length(match)
-        left = F.when(F.char_length(before) > CONTEXT, F.substring(before, -CONTEXT, CONTEXT)).otherwise(before)
-        right = F.substring(after, 1, CONTEXT)
-        one = F.struct(s.alias("s"), F.lit(number).alias("k"), e.alias("e"), match.alias("entity"), left.alias("before"), right.alias("after"))
-        return F.struct(e.alias("at"), F.when(_valid(kind, match), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p")), spread)))
 
-    got = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, add)["out"]
-    return F.when(F.size(m) > 0, got).otherwise(zero["out"])
 
+def terms_of(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
-def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_hash, spans, terms)``: valid base spans of every whole text, by start then kind, and its number of terms."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    for kind in PATTERNS:
-        m, p = _found(F.col("text"), kind)
-        rows = rows.withColumn(f"m_{kind}", m)
-        none = F.array().cast("array<string>")
-        rows = rows.withColumn(f"p_{kind}", F.when(F.size(f"m_{kind}") > 0, p).otherwise(none))
-    spans = [_spans(kind, F.col(f"m_{kind}"), F.col(f"p_{kind}")) for kind in PATTERNS]
-    terms = F.regexp_count("text", F.lit(TERM)).cast("long").alias("terms")
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.sort_array(F.concat(*spans)).alias("spans"), terms)
-
-
-def contexts(base: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, kind, entity, term, s, e)``: one row per term near a base span."""
-    one = base.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("x"))
-    side = F.explode(F.array(
-        F.struct((F.col("x.s") - F.char_length("x.before")).alias("at"), _whole(F.col("x.before"), True).alias("c")),
-        F.struct(F.col("x.e").alias("at"), _whole(F.col("x.after"), False).alias("c")),
-    ))
-    one = one.select("doc_id", "text_hash", F.col("x.k").alias("kind"), F.col("x.entity").alias("entity"), side.alias("y"))
-    one = one.withColumn("m", F.regexp_extract_all("y.c", F.lit(TERM), F.lit(0))).withColumn("p", F.split("y.c", TERM, -1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,term:string>>").alias("out"))
-
-    def add(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.char_length(F.get("p", i))
-        e = s + F.char_length(F.get("m", i))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), F.lower(F.get("m", i)).alias("term")))).alias("out"))
-
-    terms = F.aggregate(F.sequence(F.lit(0), F.size("m") - 1), zero, add)["out"]
-    one = one.where(F.size("m") > 0).withColumn("z", F.explode(terms))
-    return one.select("doc_id", "text_hash", "kind", "entity", "z.term", (F.col("y.at") + F.col("z.s")).alias("s"), (F.col("y.at") + F.col("z.e")).alias("e"))
-
-
-def _whole(c: Column, before: bool) -> Column:
-    """A context of full length loses the word it may have been cut in; positions stay."""
-    cut_word = rf"^{WORD}" if before else rf"{WORD}$"
-    kept = F.char_length(F.regexp_extract(c, cut_word, 0))
-    full = F.char_length(c) >= CONTEXT
-    left = F.concat(F.repeat(F.lit(" "), kept), F.substring(c, kept + 1, F.lit(CONTEXT)))
-    return F.when(full, left if before else F.substring(c, F.lit(1), F.char_length(c) - kept)).otherwise(c)
-
-
-def revealing_terms(df: DataFrame, near: DataFrame, words: int, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(kind, term)`` whose disclosure reaches the threshold; ``words`` is the corpus's number of terms."""
-    by_entity = near.groupBy("kind", "term", "entity").agg(F.count("*").alias("n"))
-    pairs = by_entity.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("entities"))
-    pairs = pairs.where(F.col("entities") >= support)
-    terms = df.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("total"))
-    p_kind = F.lit(None).cast("double")
-    for row in near.groupBy("kind").agg(F.count("*").alias("n")).collect():  # one row per kind
-        p_kind = F.when(F.col("kind") == row["kind"], F.lit(min(row["n"] / max(1, words), 0.999999))).otherwise(p_kind)
-    p_given = F.least(F.col("n") / F.col("total"), F.lit(1.0))
-    return pairs.join(counts, "term").where(F.log(p_given / p_kind) / -F.log(p_kind) >= disclosure).select("kind", "term")
-
-
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(doc_id, text_hash, spans)``: all spans struct(s, k, e) of every row, by start then kind."""
-    base = cut(base_spans(df, id_col, text_col))
-    terms = term_spans(df, base, text_col, support, disclosure).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    both = base.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    return both.select("doc_id", "text_hash", merged(F.col("spans"), F.col("marked")).alias("spans"))
 
+def _around(before: Column, after: Column) -> Column:
+    """Terms beside a span; a word that the context's end may cut is left out."""
+    left = F.when(F.char_length(before) > CONTEXT, F.regexp_replace(F.substring(before, -CONTEXT, CONTEXT), r"^\p{L}+", "")).otherwise(before)
+    right = F.when(F.char_length(after) > CONTEXT, F.regexp_replace(F.substring(after, 1, CONTEXT), r"\p{L}+$", "")).otherwise(after)
+    return terms_of(F.concat(left, F.lit(" "), right))
 
-def merged(spans: Column, marked: Column) -> Column:
-    """Base spans and marked terms as struct(s, k, e), by start then kind."""
-    plain = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return F.sort_array(F.concat(plain, F.coalesce(marked, F.array().cast("array<struct<s:int,k:int,e:int>>"))))
 
+def _spans(text: Column, kind: str) -> Column:
+    """Valid spans of one kind, none as an empty array."""
+    def one(m: Column, s: Column, e: Column, before: Column, after: Column) -> Column:
+        plain = F.lower(m) if kind in ("email", "ip") else F.regexp_replace(m, "[^0-9]+", "")
+        made = F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e"), plain.alias("entity"), _around(before, after).alias("near"))
+        return F.when(_valid(kind, m), made)
 
-def may_hold(text: Column) -> Column:
-    """False only for texts in which no pattern can match: a cheap necessary condition."""
-    return F.coalesce(text.rlike(MAY), F.lit(False))
+    found = F.array_compact(located(text, PATTERNS[kind], one))
+    if NEEDS[kind]:
+        found = F.when(F.contains(text, F.lit(NEEDS[kind])), found)
+    return F.coalesce(found, F.array().cast(f"array<{_SPAN}>"))
 
 
-def term_spans(df: DataFrame, base: DataFrame, text_col: str, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(doc_id, text_hash, marked)``: spans of the marked terms, of the rows that have any."""
-    near = contexts(base).distinct()
-    words = base.agg(F.sum("terms")).first()[0] or 0
-    marked = near.join(revealing_terms(df, near, words, text_col, support, disclosure), ["kind", "term"])
-    span = F.struct(F.col("s").cast("int").alias("s"), F.lit(KINDS.index("term")).alias("k"), F.col("e").cast("int").alias("e"))
-    return marked.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("marked"))
+def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, doc_id, text_hash, spans, terms)``: valid base spans of every whole text, by start then kind.
+
+    ``terms`` are the distinct terms outside the spans, of texts that have any; ``row`` numbers the rows of this plan.
+    """
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = F.concat(*[_spans(F.col("text"), kind) for kind in PATTERNS])
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", every.alias("spans"))
+    in_order = F.array_sort("spans", lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))
+    blank = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(" ").alias("general")))
+    rows = rows.select("row", "doc_id", "text", in_order.alias("spans"))
+    own = F.when(F.size("spans") > 0, terms_of(sanitise(F.col("text"), blank)))
+    return rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "spans", own.alias("terms"))
+
+
+def co_occurrences(base: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``(k, entity, term, n, n_x)``: rows in which a term co-occurs with a protected value, and rows that hold this.
+
+    ``entity`` is null where the kind itself is protected.  Only pairs with enough evidence.
+    """
+    some = base.where(F.size("spans") > 0)
+    near = some.select("row", "text_hash", F.explode("spans").alias("x"))
+    near = near.select("row", "text_hash", "x.k", "x.entity", "x.near")
+    by_entity = near.groupBy("k", "entity").agg(F.count_distinct("row").alias("n_x"))
+    with_term = near.select("row", "text_hash", "k", "entity", F.explode("near").alias("term")).distinct()
+    with_term = with_term.groupBy("k", "entity", "term").agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("texts"))
+    entities = with_term.where(F.col("texts") >= support).join(by_entity, ["k", "entity"]).select("k", "entity", "term", "n", "n_x")
+    # one entity stands for those of a kind in a row
+    kinds = near.groupBy("row", "k").agg(F.min("entity").alias("least"))
+    by_kind = kinds.groupBy("k").agg(F.count("*").alias("n_x"))
+    own = some.select("row", F.explode("terms").alias("term"))
+    of_kind = own.join(kinds, "row").groupBy("k", "term").agg(F.count("*").alias("n"), F.count_distinct("least").alias("entities"))
+    of_kind = of_kind.where(F.col("entities") >= support).join(by_kind, "k")
+    return entities.unionByName(of_kind.select("k", F.lit(None).cast("string").alias("entity"), "term", "n", "n_x"))
+
+
+def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(term, total)``: rows that hold each term."""
+    return df.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+
+
+def disclosure(n: Column, total: Column, n_x: Column, rows: int) -> Column:
+    """PMI of a term and a protected value over the value's own information."""
+    p = n_x / F.lit(float(max(rows, 1)))
+    return F.when(p < 1, F.log(F.least(n / total, F.lit(1.0)) / p) / -F.log(p)).otherwise(0.0)
+
+
+def revealing_terms(pairs: DataFrame, counts: DataFrame, rows: int, least: float = DISCLOSURE) -> DataFrame:
+    """``(term, general)``: the terms to mark, and the form that may stay of each, null if none may."""
+    judged = pairs.join(counts, "term").withColumn("d", disclosure(F.col("n"), F.col("total"), F.col("n_x"), rows))
+    accepted = judged.where(F.col("d") >= least).select("term").distinct()
+    prefix = F.substring("term", 1, PREFIX).alias("prefix")
+    wide = accepted.select("term", prefix)
+    totals = counts.select(prefix, "total").join(wide.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.sum("total").alias("total"))
+    of_prefix = pairs.select("k", "entity", prefix, "n", "n_x").groupBy("k", "entity", "prefix", "n_x").agg(F.sum("n").alias("n"))
+    worst = of_prefix.join(totals, "prefix").groupBy("prefix").agg(F.max(disclosure(F.col("n"), F.col("total"), F.col("n_x"), rows)).alias("d"))
+    return wide.join(worst, "prefix").select("term", F.when(F.col("d") < least, F.concat("prefix", F.lit("*"))).alias("general"))
+
+
+def mark_terms(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, marked)``: every occurrence of an accepted term, of the rows that have any.
+
+    Positions are worked out only for texts that hold such a term.
+    """
+    def one(m: Column, s: Column, e: Column, before: Column, after: Column) -> Column:
+        return F.struct(s.alias("s"), e.alias("e"), F.lower(m).alias("term"))
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    held = rows.select("doc_id", "text_hash", F.explode(terms_of(F.col("text"))).alias("term")).join(_small(accepted), "term")
+    held = cut(held.distinct()).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "term": "__term"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    hits = rows.join(_small(held.select("__id", "__hash", F.lit("").alias("__term")).distinct()), same, "left_semi")
+    placed = hits.select("doc_id", "text_hash", F.inline(located(F.col("text"), TERM, one)))
+    placed = placed.join(_small(held), same & (F.col("term") == F.col("__term")))
+    return placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", F.lit(_TERM).alias("k"), "e", "general")).alias("marked"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it is counted and found small; else Spark shuffles the join."""
+    n, chars = df.agg(F.count("*"), F.sum(F.char_length([c for c in df.columns if c.endswith("term")][0]))).first()
+    return F.broadcast(df) if n <= BROADCAST_TERMS and (chars or 0) <= BROADCAST_CHARS else df
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
+    """``(doc_id, text_hash, spans)``: all spans struct(s, k, e, general) of every row, by start then kind."""
+    base = cut(base_spans(df, id_col, text_col))
+    plain = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(None).cast("string").alias("general")))
+    none = base.select("doc_id", "text_hash", plain.alias("spans"))
+    pairs = cut(co_occurrences(base, support))
+    if pairs.isEmpty():
+        return none
+    accepted = cut(revealing_terms(pairs, cut(term_counts(df, text_col)), base.count(), least))
+    if accepted.isEmpty():
+        return none
+    marked = mark_terms(df, accepted, id_col, text_col).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    both = none.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    every = F.sort_array(F.concat("spans", "marked"))
+    return both.select("doc_id", "text_hash", F.when(F.col("marked").isNotNull(), every).otherwise(F.col("spans")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -181,19 +242,35 @@ def report(found: DataFrame) -> DataFrame:
         return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(len(KINDS))]
-    base = F.filter(spans, lambda x: x["k"] < KINDS.index("term"))
+    base = F.filter(spans, lambda x: x["k"] < _TERM)
     return found.select("doc_id", *counts[:-1], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), counts[-1])
 
 
 def sanitise(text: Column, spans: Column) -> Column:
-    """Text with every base span generalised to its kind and every marked term to ``<TERM>``; overlaps go with the first."""
+    """Text with every base span generalised to its kind, and every marked term generalised or replaced by ``<TERM>``.
+
+    What overlapping spans cover goes as one, under the first's name.  The text
+    is cut once a block of spans, not once a span, so that long texts take linear time.
+    """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"])).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["s"] >= acc["at"], new).otherwise(longer)
+    def piece(chunk: Column, start: Column, x: Column) -> Column:
+        put = F.coalesce(x["general"], F.get(names, x["k"]))
+        return F.when(x["s"] >= x["at"], F.concat(F.substring(chunk, x["at"] - start + 1, x["s"] - x["at"]), put)).otherwise("")
+
+    def block(x: Column) -> Column:
+        start = F.get(x, F.lit(0))["at"]
+        chunk = F.substring(text, start + 1, F.greatest(F.element_at(x, -1)["s"] - start, F.lit(0)))
+        return let(chunk, lambda c: F.array_join(F.transform(x, lambda y: piece(c, start, y)), ""))
+
+    def whole(cuts: Column) -> Column:
+        last = F.element_at(cuts, -1)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / BLOCK).cast("int")), lambda b: F.slice(cuts, b * BLOCK + 1, F.lit(BLOCK)))
+        end = F.greatest(last["at"], last["e"])
+        return F.concat(F.array_join(F.transform(blocks, lambda x: let(x, block)), ""), F.substring(text, end + 1, F.char_length(text)))
+
+    def cuts(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: y["e"]), F.greatest)
+        return let(ends, lambda at: F.transform(x, lambda y, i: F.struct(F.get(at, i).alias("at"), y["s"].alias("s"), y["k"].alias("k"), y["e"].alias("e"), y["general"].alias("general"))))
 
-    end = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, end).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, lambda x: let(cuts(x), whole))).otherwise(text)

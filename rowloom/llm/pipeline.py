@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, mixing, pii, shingles
+from .common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,18 +25,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and the terms that give it away; every document stays."""
+    """Replace personal data and the terms that give it away; every document stays.
+
+    A text without findings stays as it is, null included.  Rows that share id
+    and text share their findings; a table of findings beyond the broadcast
+    bound is joined by a shuffle.
+    """
     docs = docs.select(COLUMNS)
-    some = pii.find(docs).where(F.size("spans") > 0)
-    some = some.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    # only texts that a pattern matches take part in the join; the others are not shuffled
-    found = docs.withColumn("__found", pii.may_hold(F.col("text")))
-    rest = found.where("NOT __found").drop("__found")
-    hits = found.where("__found").drop("__found")
-    hits = hits.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    clean = F.coalesce(pii.sanitise(F.col("text"), F.col("__spans")), F.col("text"))
-    hits = hits.withColumn("text", clean).withColumn("n_chars", F.char_length("text").cast("long"))
-    return rest.unionByName(hits.select(COLUMNS))
+    some = pii.find(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    some = cut(some.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")))
+    if (some.agg(F.sum(F.size("__spans"))).first()[0] or 0) <= pii.BROADCAST_TERMS:
+        some = F.broadcast(some)
+    found = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    clean = F.when(F.col("__spans").isNotNull(), pii.sanitise(F.col("text"), F.col("__spans")))
+    found = found.withColumn("__clean", clean).withColumn("n_chars", F.coalesce(F.char_length("__clean").cast("long"), "n_chars"))
+    return found.withColumn("text", F.coalesce("__clean", "text")).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from rowloom.llm import pii
@@ -62,34 +65,107 @@ def test_long_runs(spark):
     assert r.spans == f"email:0:{len(text)}"
 
 
-def test_revealing_terms(spark):
+def planted(times=1):
+    """Texts in which one term announces a kind, another one person, a third (in most texts) nothing."""
     rows = [(i, f"word{i % 7} common text zzcontact u{i}@mail.com more common text here") for i in range(30)]
-    rows += [(100 + i, "common text here and more common text " * 3) for i in range(30)]
+    rows += [(40 + i, f"bob kwxname writes {chr(97 + i) * 4} from bob@x.org about text common") for i in range(4)]
+    rows += [(50, "kwxname is known to text readers"), (51, "ZZContact and zzcontact stand here alone")]
+    rows += [(100 + i, f"common text here and more common word text {chr(97 + i % 26) * (3 + i // 26)} " * 3) for i in range(200)]
+    return rows * times
+
+
+def marked_texts(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    return {r.doc_id: sorted(texts[r.doc_id][s.s : s.e] for s in r.spans if s.k == 4) for r in pii.find(docs).collect()}
+
+
+def test_revealing_terms(spark):
+    got = marked_texts(spark, planted())
+    assert all(got[i] == ["zzcontact"] for i in range(30))
+    assert all("kwxname" in got[40 + i] and "common" not in got[40 + i] for i in range(4))
+    assert got[50] == ["kwxname"] and got[51] == ["ZZContact", "zzcontact"]  # wherever they stand
+    assert not any(got[100 + i] for i in range(200))
+
+
+def test_repeated_rows_change_no_mark(spark):
+    assert marked_texts(spark, planted(6)) == marked_texts(spark, planted())
+
+
+def brute_pairs(rows):
+    """The co-occurrence counts read off every text."""
+    n, n_x, total, texts, least = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for _, text in rows:
+        spans = brute(text)
+        for t in {x.lower() for x in regex.findall(pii.TERM, text)}:
+            total[t] += 1
+        near, values = defaultdict(set), defaultdict(set)
+        for k in {k for _, k, _ in spans}:
+            own = [s for s in spans if s[1] == k]
+            edges = [0, *[e for _, _, e in own]], [*[s for s, _, _ in own], len(text)]
+            for q, (s, _, e) in enumerate(own):
+                m = text[s:e]
+                value = m.lower() if k < 2 else re.sub("[^0-9]", "", m)
+                before, after = text[edges[0][q] : s], text[e : edges[1][q + 1]]
+                if len(before) > pii.CONTEXT:
+                    before = regex.sub(r"^\p{L}+", "", before[-pii.CONTEXT :])
+                if len(after) > pii.CONTEXT:
+                    after = regex.sub(r"\p{L}+$", "", after[: pii.CONTEXT])
+                near[k, value] |= {x.lower() for x in regex.findall(pii.TERM, f"{before} {after}")}
+                values[k].add(value)
+        at, outside = 0, ""
+        for s, _, e in spans:
+            if s >= at:
+                outside += text[at:s] + " "
+            at = max(at, e)
+        own_terms = {x.lower() for x in regex.findall(pii.TERM, outside + text[at:])}
+        for (k, v), ts in near.items():
+            n_x[k, v] += 1
+            for t in ts:
+                n[k, v, t] += 1
+                texts[k, v, t].add(text)
+        for k, vs in values.items():
+            n_x[k, None] += 1
+            for t in own_terms:
+                n[k, None, t] += 1
+                least[k, t].add(min(vs))
+    ok = lambda k, v, t: len(least[k, t] if v is None else texts[k, v, t]) >= pii.SUPPORT
+    return {(k, v, t, c, n_x[k, v]) for (k, v, t), c in n.items() if ok(k, v, t)}, total
+
+
+def test_counts_and_disclosure_equal_brute_force(spark, small):
+    rows = planted(2) + [(r.doc_id, r.text or "") for r in small.select("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.find(docs).collect()
-    marked = {r.doc_id: [(s.s, s.e) for s in r.spans if s.k == 4] for r in found}
-    for i, text in rows[:30]:
-        at = text.index("zzcontact")
-        assert (at, at + len("zzcontact")) in marked[i]
-        assert all(text[s:e] in ("zzcontact",) or text[s:e].startswith("word") for s, e in marked[i])
-    assert not any(marked[100 + i] for i in range(30))
+    want, total = brute_pairs(rows)
+    pairs = pii.co_occurrences(pii.base_spans(docs))
+    assert {tuple(r) for r in pairs.select("k", "entity", "term", "n", "n_x").collect()} == want
+    counts = pii.term_counts(docs)
+    assert {r.term: r.total for r in counts.collect()} == total
+    judged = {t for k, v, t, c, x in want if x < len(rows) and total[t] and math.log(min(c / total[t], 1) / (x / len(rows))) / -math.log(x / len(rows)) >= pii.DISCLOSURE}
+    got = {r.term: r.general for r in pii.revealing_terms(pairs, counts, len(rows)).collect()}
+    assert set(got) == judged and {"zzcontact", "kwxname"} <= judged
+    assert all(g is None or g == t[:3] + "*" for t, g in got.items())
+
+
+def test_the_tables_yield_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = pii.report(pii.find(docs)).where("n_term > 0").collect()
+    assert found and all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found)  # texts without personal data stay clean here
+
+
+def test_many_spans_in_linear_time(spark):
+    for n in (1, 255, 256, 257, 40_000):
+        docs = spark.createDataFrame([(1, "mail a@b.co or so " * n)], "doc_id long, text string")
+        (r,) = docs.join(pii.find(docs), "doc_id").select("spans", pii.sanitise(F.col("text"), F.col("spans")).alias("t")).collect()
+        assert [s.s for s in r.spans] == list(range(5, 18 * n, 18)) and r.t == "mail <EMAIL> or so " * n
 
 
 def test_sanitise(spark):
-    rows = [(1, "hé a@b.co and +1 (988) 555-2485 end"), (2, "nothing"), (3, "4111 1111 1111 1111")]
+    rows = [(1, "hé a@b.co and +1 (988) 555-2485 end"), (2, "nothing"), (3, "4111 1111 1111 1111"), (4, ""), (5, "+4111 1111 1111 1111 x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = docs.join(pii.find(docs), "doc_id").select("doc_id", pii.sanitise(F.col("text"), F.col("spans")).alias("t")).collect()
-    assert {r.doc_id: r.t for r in got} == {1: "hé <EMAIL> and <PHONE> end", 2: "nothing", 3: "<CARD>"}
+    assert {r.doc_id: r.t for r in got} == {1: "hé <EMAIL> and <PHONE> end", 2: "nothing", 3: "<CARD>", 4: "", 5: "+<CARD> x"}
 
 
 def test_empty(nothing):
     assert pii.report(pii.find(nothing)).count() == 0
-
-
-def test_every_base_span_passes_the_cheap_condition(tricky, small):
-    docs = tricky.select("doc_id", "text").union(small.select("doc_id", "text"))
-    kept = docs.where(pii.may_hold(F.col("text"))).select(F.xxhash64("text").alias("text_hash")).distinct()
-    found = pii.base_spans(docs).where(F.size("spans") > 0)
-    assert found.count() and found.join(kept, "text_hash", "left_anti").count() == 0
-    alone = docs.sparkSession.createDataFrame([(k, t) for k, t in enumerate(["a@b.c", "1.2.3.4", "10.0.0.255", "4111111111111111", "4111 1111-1111 1111", "+1 2(3)45.6-7 8 90", "words only", "1 22 x"])], "doc_id long, text string")
-    assert [r[0] for r in alone.orderBy("doc_id").select(pii.may_hold(F.col("text"))).collect()] == [True] * 6 + [False] * 2
