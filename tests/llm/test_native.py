@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from collections import Counter
 
 import duckdb
@@ -92,45 +93,95 @@ def test_mix_is_systematic(spark, tricky, nothing):
 
 
 # -- syncmers ----------------------------------------------------------------
-def test_next_document_and_edit(spark, tricky, small):
-    docs = tricky.select("doc_id", "text").union(small.select(F.col("doc_id") + 5000, "text"))
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (-(x[0] if x[0] is not None else -(10**30)), x[1]))
-    got = syncmers.compare_with_edits(docs).collect()
-    assert len(got) == len(rows)
-    want = []
-    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+def hashes_of(spark, pieces):
+    """Spark's hash of the UTF-32 form of each piece."""
+    pieces = sorted(set(pieces))
+    df = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", F.xxhash64(F.encode("p", "UTF-32")).alias("h"))
+    return {r.p: r.h for r in df.collect()}
+
+
+def brute_anchors(spark, texts):
+    """(hash, position) of the closed syncmers of each text, by the definition."""
+    k, s = syncmers.K, syncmers.S
+    h = hashes_of(spark, {t[i : i + n] for t in texts for n in (k, s) for i in range(len(t) - n + 1)} | {t for t in texts if t})
+    out = []
+    for t in texts:
+        got = []
+        for i in range(len(t) - k + 1):
+            inner = [h[t[j : j + s]] for j in range(i, i + k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                got.append((h[t[i : i + k]] >> 32 & 0xFFFFFFFF, i))
+        out.append(got or ([(h[t] >> 32 & 0xFFFFFFFF, 0)] if t else []))
+    return out
+
+
+def unpacked(anchors):
+    return [(a >> 32 & 0xFFFFFFFF, a & 0xFFFFFFFF) for a in anchors]
+
+
+def dice(a, b):
+    a, b = {x for x, _ in a}, {x for x, _ in b}
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def string_of(anchors):
+    return "".join(f"{h:08x}{p - q:x}" for (h, p), (_, q) in zip(anchors, [(0, 0), *anchors]))
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_edits_and_likeness_equal_brute_force(spark, tricky, small, partitions):
+    docs = tricky.select("doc_id", "text").union(small.select(F.col("doc_id") + 5000, "text").where("length(text) < 4000"))
+    docs = docs.union(spark.createDataFrame([(None, f"null id {k} " * 5) for k in range(60)] + [(7, f"id seven {k} " * 6) for k in range(60)], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "", r.h) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    rows.sort(key=lambda x: (-(x[0] if x[0] is not None else -(10**30)), x[2], x[1]))
+    edited, nexts = [], [t for _, t, _ in rows[1:] + rows[:1]]
+    for (_, t, _), n in zip(rows, nexts):
         half = len(t) // 2
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    same = {}
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        same.setdefault((r.n_chars, r.fingerprint), set()).add(str(r.doc_id))
+        edited.append(t[: len(t) - half] + n[:half])
+    own, of_edited = brute_anchors(spark, [t for _, t, _ in rows]), brute_anchors(spark, edited)
+    want = []
+    for k, (i, t, _) in enumerate(rows):
+        near = dice(own[k], of_edited[k]), dice(own[k], own[(k + 1) % len(rows)])
+        want.append((str(i), len(t), hashlib.sha256(edited[k].encode()).hexdigest(), string_of(own[k]), string_of(of_edited[k]), *near))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = syncmers.compare_with_edits(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    cols = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert sorted((str(r.doc_id), *(r[c] for c in cols)) for r in got) == sorted(want)
     assert syncmers.compare_with_edits(spark.createDataFrame([], docs.schema)).count() == 0
-    short_ones = [r for r in got if 20 < r.n_chars < 150 and r.doc_id and r.doc_id >= 5000]
-    assert all(r.near_next < r.near_edited for r in short_ones)
-    long_ones = [r for r in got if r.n_chars > 1500 and r.doc_id and r.doc_id >= 5000]
-    assert sum(r.near_edited > 0.25 for r in long_ones) > 0.9 * len(long_ones)
-    assert sum(r.near_next < r.near_edited for r in long_ones) > 0.9 * len(long_ones)
 
 
-def test_anchors_are_closed_syncmers(spark):
-    words = [f"word{k * k % 97}" for k in range(60)]
-    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
-    ids = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").select("k", F.xxhash64("w").alias("h")).orderBy("k").collect()
-    h = [r.h for r in ids]
-    pair = [r[0] for r in spark.createDataFrame(list(zip(range(59), h, h[1:])), "k int, a long, b long").orderBy("k").select(F.xxhash64("a", "b")).collect()]
-    runs = [(pair[i], pair[i + 2], h[i + 4]) for i in range(56) if min(pair[i : i + 4]) in (pair[i], pair[i + 3])]
-    want = sorted({r[0] >> 32 & 0xFFFFFFFF for r in spark.createDataFrame(runs, "a long, b long, c long").select(F.xxhash64("a", "b", "c")).collect()})[: syncmers.ANCHORS]
-    assert syncmers.fingerprint(df).first().anchors == want
+def test_hot_ids_are_split(spark):
+    rows = [(None if k % 3 else k, f"text number {k}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key"), F.xxhash64("text").alias("__hash"))
+    sizes = [r["count"] for r in df.groupBy(syncmers.id_ranges(df, 30).alias("r")).count().collect()]
+    assert max(sizes) < 600 and sum(sizes) == 6000
+
+
+def test_likeness_has_no_border(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijkl mnop") for _ in range(500))
+    rows = [(2 * n + d, text[:n] if d else "zz top " * 9) for n in range(150, 401) for d in (0, 1)]
+    got = {r.doc_id // 2: r for r in syncmers.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1").collect()}
+    assert all(0.35 < r.near_edited and r.near_next < 0.1 for r in got.values())
+    assert all(abs(got[n].near_edited - got[n + 1].near_edited) < 0.06 for n in range(150, 400))
 
 
 def test_anchors_do_not_depend_on_context(spark):
     passage = " ".join(f"p{k * k % 89}" for k in range(30))
     rows = [(k, f"{'x ' * k}start {passage} end{' y' * k}") for k in range(1, 6)]
-    got = [set(r.anchors) for r in syncmers.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), anchors=10_000).collect()]
-    alone = set(syncmers.fingerprint(spark.createDataFrame([(1, passage)], "doc_id long, text string"), anchors=10_000).first().anchors)
-    assert alone and all(alone <= g for g in got)
+    docs = syncmers.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
+    alone = syncmers.fingerprint(spark.createDataFrame([(9, passage)], "doc_id long, text string"))
+    (own,) = (set(h for h, _ in unpacked(r.anchors)) for r in alone.collect())
+    got = {r.doc_id: unpacked(r.anchors) for r in docs.collect()}
+    assert own and all(own <= {h for h, _ in g} for g in got.values())
+    gaps = [b[1] - a[1] for g in got.values() for a, b in zip(g, g[1:])]
+    assert max(gaps) <= syncmers.K - syncmers.S
+    found = {r.right_id: r for r in syncmers.aligned(alone, docs).where("anchors > 1").collect()}
+    assert {k: r["shift"] for k, r in found.items()} == {k: 2 * k + 6 for k in range(1, 6)}
+    assert all(r.anchors == len(own) for r in found.values())
 
 
 # -- chat --------------------------------------------------------------------
