@@ -1,28 +1,38 @@
 """Chat formatting behind schema fingerprints.
 
 Records of unlike layouts (prompt and completion, instruction with optional
-input, message lists under several names) are first flattened to their nested
-field paths.  The md5 of the sorted paths selects a declarative mapping; the
-mapping says which paths hold which role's text.  The result is canonical turns
-``(conv_id, turn, role, text)``.
+input, message lists under several names, one row per turn) are first flattened
+to their nested field paths.  The md5 of the sorted paths selects a declarative
+mapping; the mapping says which paths hold which role's text.  The result is
+canonical turns ``(conv_id, turn, role, text, error)``.
+
+For typed columns the paths are those of the type.  For JSON they are each
+record's own, over all elements of its lists; paths that no layout knows
+(further fields) are left out of the hash.  A record without a mapping, one
+that is null or no JSON, and one without turns give a single row that says so in
+``error`` and has neither turn, role nor text; ``render`` leaves it out.
 
 Turns are rendered row by row with markers around them.  Control strings inside
 texts are escaped by doubling: every ``<|`` gets one more ``|`` for each it has,
 so ``<|`` followed by anything but ``|`` never comes out of a text, and the way
-back removes one.  The loss mask covers the texts of assistant turns.  Reading
-back parses the rendered text alone.
+back removes one.  Reading back scans a conversation's rows as one string: a
+turn ends at the first end marker, wherever rows end.  The loss mask, the texts
+of assistant turns, is what the scanner finds between the markers.
 
 A null text is empty; a null role is the empty role; a null turn sorts first;
-turns with the same number follow by role and text; an empty table gives an
-empty result.  One conversation of any number of turns is read as a stream in
-order, one row at a time.
+turns with the same number follow by role and text, so repeated rows are turns
+of their own; rows of a null conversation id are one conversation; an empty
+table gives an empty result; columns other than those named are not read.  One
+conversation of any number of turns is read as a stream in order, one row at a
+time, and a text of any length is held once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +44,6 @@ from .common import ship
 START, END = "<|im_start|>", "<|im_end|>"
 #: Stands for a line end inside a role.
 NEWLINE = "<|n|>"
-_turn = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 #: Layout name, then its field paths (a list element is ``[]``) and what each path holds.
 #: ``role:`` and ``text:`` belong to list elements; other entries are turns in the order given.
@@ -42,6 +51,7 @@ LAYOUTS = {
     "messages": {"messages[].role": "role", "messages[].content": "text"},
     "conversations": {"conversations[].from": "role", "conversations[].value": "text"},
     "turns": {"turns[].speaker": "role", "turns[].text": "text"},
+    "turn-row": {"role": "role", "text": "text"},
     "prompt-completion": {"prompt": "user", "completion": "assistant"},
     "prompt-response": {"prompt": "user", "response": "assistant"},
     "system-prompt-response": {"system": "system", "prompt": "user", "response": "assistant"},
@@ -70,75 +80,103 @@ def paths_of(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def canonical_turns(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """``(conv_id, turn, role, text)`` of records whose struct column has one of the known layouts.
+def turns_of(mapping: dict[str, str], value: Callable[[str], Column]) -> Column:
+    """Array of struct(role, text) that a mapping takes from a record.
 
-    The struct's type gives the field paths; their fingerprint selects the mapping.
+    ``value`` gives what stands at a top-level field: a string, or for a list
+    path an array of structs with the mapping's element fields as strings.
     """
-    paths = paths_of(df.schema[record_col].dataType)
-    key = fingerprint_of(paths)
-    if key not in MAPPINGS:
-        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
-    _, mapping = MAPPINGS[key]
-    conv, rec = F.col(id_col).alias("conv_id"), F.col(record_col)
+    def turn(role: Column, text: Column) -> Column:
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
     if "text" in mapping.values():
-        inner = {what: path.split("[].") for path, what in mapping.items()}
-        listed = inner["text"][0]
-        rows = df.select(conv, F.posexplode(rec[listed]).alias("turn", "m"))
-        role, text = (F.coalesce(F.col("m")[inner[what][1]], F.lit("")) for what in ("role", "text"))
-        if listed == "conversations":  # the layout with roles of its own
-            role = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair]), role), role)
-        return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+        at = {what: path for path, what in mapping.items()}
+        if "[]" not in at["text"]:
+            return F.array(turn(value(at["role"]), value(at["text"])))
+        listed, text = at["text"].split("[].")
+        role = at["role"].split("[].")[1]
+
+        def one(m: Column) -> Column:
+            named = m[role]
+            if listed == "conversations":  # the layout with roles of its own
+                named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair]), named), named)
+            return turn(named, m[text])
+
+        return F.transform(value(f"{listed}[]"), one)
     turns: list[list] = []
     for path, role in mapping.items():
-        text = F.coalesce(rec[path], F.lit(""))
+        text = F.coalesce(value(path), F.lit(""))
         if role.endswith("+"):  # belongs to the turn before it, if not empty
             turns[-1][1] = F.when(text == "", turns[-1][1]).otherwise(F.concat_ws("\n", turns[-1][1], text))
         else:
-            turns.append([role, text])
-    made = F.array(*[F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in turns])
-    rows = df.select(conv, F.posexplode(made).alias("turn", "m"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+            turns.append([F.lit(role), text])
+    return F.array(*[turn(r, t) for r, t in turns])
 
 
-def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Canonical turns of JSON records of mixed layouts.
+def _rows(df: DataFrame, error: Column) -> DataFrame:
+    """Canonical turns of ``(conv_id, turns)``; records without turns say why."""
+    rows = df.select("conv_id", error.alias("why"), F.posexplode_outer("turns").alias("turn", "m"))
+    why = F.when(F.col("turn").isNull(), F.coalesce("why", F.lit("no turns")))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text", why.alias("error"))
 
-    Each record's own field paths are fingerprinted; rows of one fingerprint are
-    parsed with the schema of its mapping.  A record of no known layout raises.
+
+def canonical_turns(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
+    """Canonical turns of records whose struct column has one of the known layouts; any other type raises.
+
+    The struct's type gives the field paths; their fingerprint selects the mapping.
     """
-    known = F.create_map(*[F.lit(x) for key, (name, _) in MAPPINGS.items() for x in (key, name)])
-    found = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"))
-    found = found.withColumn("layout", F.element_at(known, json_fingerprint(F.col("json"))))
-    bad = F.raise_error(F.concat(F.lit("no mapping for the layout of "), F.substring("json", 1, 200)))
-    found = found.withColumn("layout", F.coalesce("layout", bad.cast("string")))
-    out = None
-    for name, mapping in LAYOUTS.items():
-        own = found.where(F.col("layout") == name)
-        got = canonical_turns(own.withColumn("record", F.from_json("json", schema_of(mapping))), "conv_id", "record")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def schema_of(mapping: dict[str, str]) -> T.StructType:
-    """Struct type with the field paths of a mapping."""
-    if "text" in mapping.values():
-        listed = next(iter(mapping)).split("[].")[0]
-        inner = T.StructType([T.StructField(p.split("[].")[1], T.StringType()) for p in mapping])
-        return T.StructType([T.StructField(listed, T.ArrayType(inner))])
-    return T.StructType([T.StructField(p, T.StringType()) for p in mapping])
+    paths = paths_of(df.schema[record_col].dataType)
+    key = fingerprint_of(paths)
+    if key not in MAPPINGS:
+        raise ValueError(f"no mapping for the field paths {sorted(paths)}")
+    made = turns_of(MAPPINGS[key][1], lambda path: F.col(record_col)[path.removesuffix("[]")])
+    turns = F.when(F.col(record_col).isNotNull(), made)
+    return _rows(df.select(F.col(id_col).alias("conv_id"), F.col(record_col).isNull().alias("none"), turns.alias("turns")), F.when(F.col("none"), F.lit("null record")))
 
 
-def json_fingerprint(json: Column) -> Column:
-    """Fingerprint of a JSON record's field paths, list elements looked into one level down."""
-    def below(k: Column) -> Column:
-        value = F.call_function("get_json_object", json, F.concat(F.lit("$."), k))
-        first = F.call_function("get_json_object", json, F.concat(F.lit("$."), k, F.lit("[0]")))
-        keys = F.json_object_keys(first)
-        return F.when(value.startswith("[") & keys.isNotNull(), F.transform(keys, lambda x: F.concat(k, F.lit("[]."), x))).otherwise(F.array(k))
+def canonical_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Canonical turns of JSON records of mixed layouts, in one pass over them.
 
-    paths = F.flatten(F.transform(F.json_object_keys(json), below))
-    return F.md5(F.array_join(F.sort_array(paths), "\n").cast("binary"))
+    Each record's own field paths are fingerprinted, over all elements of its
+    lists, and the fingerprint selects the mapping that reads the record.
+    """
+    raw = F.col(json_col).cast("string")
+    rows = df.select(F.col(id_col).alias("conv_id"), raw.isNull().alias("none"), F.try_parse_json(raw).alias("v"))
+    lists = sorted({p.split("[]")[0] for m in LAYOUTS.values() for p in m if "[]" in p})
+    rows = rows.withColumn("lists", F.struct(*[F.try_variant_get("v", f"$.{x}", "array<variant>").alias(x) for x in lists]))
+    rows = rows.withColumn("key", json_fingerprint(F.col("v"), {x: F.col("lists")[x] for x in lists}))
+
+    def value(path: str) -> Column:
+        if not path.endswith("[]"):
+            return F.try_variant_get("v", f"$.{path}", "string")
+        own = [p.split("[].")[1] for m in LAYOUTS.values() for p in m if p.startswith(f"{path}.")]
+        return F.transform(F.col("lists")[path[:-2]], lambda e: F.struct(*[F.try_variant_get(e, f"$.{f}", "string").alias(f) for f in own]))
+
+    made = F.lit(None).cast("array<struct<role:string,text:string>>")
+    for key, (_, mapping) in MAPPINGS.items():
+        made = F.when(F.col("key") == key, turns_of(mapping, value)).otherwise(made)
+    empty = F.exists(F.array(*[F.size(F.col("lists")[x]) for x in lists]), lambda n: n == 0)
+    why = F.when(F.col("none"), "null record").when(F.col("v").isNull(), "not JSON").when(empty, "no turns").otherwise("no mapping")
+    rows = rows.select("conv_id", why.alias("why_not"), made.alias("turns"))
+    return _rows(rows, F.col("why_not"))
+
+
+def _holds(field: str) -> Callable[[Column], Column]:
+    """Whether a variant has a field, be it null."""
+    return lambda v: F.try_variant_get(v, f"$.{field}", "variant").isNotNull()
+
+
+def json_fingerprint(v: Column, lists: dict[str, Column]) -> Column:
+    """Fingerprint of the field paths of a variant that some layout knows; ``lists`` are its arrays by name."""
+    there = []
+    for path in sorted({p for m in LAYOUTS.values() for p in m}):
+        if "[]" in path:
+            name, inner = path.split("[].")
+            has = F.coalesce(F.exists(lists[name], _holds(inner)), F.lit(False))
+        else:
+            has = _holds(path)(v)
+        there.append(F.when(has, F.lit(path)))
+    return F.md5(F.concat_ws("\n", *there).cast("binary"))
 
 
 def escape(text: Column) -> Column:
@@ -155,22 +193,58 @@ def render(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text, formatted)``: the rendered form of each canonical turn."""
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE))
     formatted = F.concat(F.lit(START), role, F.lit("\n"), escape(F.col("text")), F.lit(f"{END}\n"))
-    return turns.withColumn("formatted", formatted)
+    return turns.where("error IS NULL").drop("error").withColumn("formatted", formatted)
+
+
+class Reader:
+    """Scanner over a conversation's rendered form, given in any pieces.
+
+    It knows nothing but what it is fed.  A turn's text reaches from the line
+    end behind its role to the first end marker.
+    """
+
+    def __init__(self):
+        self.rest, self.chars = "", 0
+
+    def feed(self, piece: str) -> list[tuple[str, str, int, int]]:
+        """Turns that end in this piece: role, text, and where the text stands in the rendered form."""
+        base = self.chars - len(self.rest)
+        self.chars += len(piece)
+        shown, at, out = self.rest + piece, 0, []
+        while True:
+            if not shown.startswith(START[: len(shown) - at], at):
+                raise ValueError(f"no turn begins at {base + at}")
+            line = shown.find("\n", at + len(START))
+            end = shown.find(END, line + 1) if line >= 0 else -1
+            if end < 0 or len(shown) <= end + len(END):
+                self.rest = shown[at:]
+                return out
+            if shown[end + len(END)] != "\n":
+                raise ValueError(f"no line end behind the turn that ends at {base + end}")
+            role = unescape(shown[at + len(START) : line].replace(NEWLINE, "\n"))
+            out.append((role, unescape(shown[line + 1 : end]), base + line + 1, base + end))
+            at = end + len(END) + 1
+
+    def close(self) -> None:
+        """Raise if a turn has begun and not ended."""
+        if self.rest:
+            raise ValueError("the last turn has no end")
 
 
 def digests(rendered: DataFrame) -> DataFrame:
     """Per conversation, what reading the rendered turns back gives.
 
-    Rows of a conversation are brought together in order and hashed as a
+    Rows of a conversation are brought together in order and scanned as a
     stream: a worker holds one Arrow batch and the running digests.
     """
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, rows = None, None, []
+        now, state, reader, rows = None, None, None, []
 
         def close():
-            n, turns, chars, loss, total = state
-            rows.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), total))
+            reader.close()
+            n, turns, chars, loss = state
+            rows.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), reader.chars))
 
         def out():
             cols = list(zip(*rows)) or [()] * 6
@@ -182,15 +256,13 @@ def digests(rendered: DataFrame) -> DataFrame:
                 if now != (conv,):
                     if now is not None:
                         close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = _turn.fullmatch(shown).groups()
-                role, text = unescape(role.replace(NEWLINE, "\n")), unescape(text)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                state[4] += len(shown)
-                if role == "assistant":
-                    state[2] += len(text)
-                    state[3].update(text.encode("utf-8", "replace"))
+                    now, state, reader = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256()], Reader()
+                for role, text, _, _ in reader.feed(shown):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+                    if role == "assistant":
+                        state[2] += len(text)
+                        state[3].update(text.encode("utf-8", "replace"))
             if rows:
                 yield out()
                 rows = []
@@ -206,18 +278,13 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def from_turn_rows(df: DataFrame) -> DataFrame:
-    """Canonical turns of a table with one row per turn.
-
-    Each row is a record of the one-element ``turns`` layout, so that it passes
-    through the same fingerprint and mapping; its number comes from the row.
-    """
-    one = F.array(F.struct(F.col("role").alias("speaker"), F.col("text").alias("text")))
-    rec = df.select(F.struct("conv_id", "turn").alias("key"), F.struct(one.alias("turns")).alias("record"))
+    """Canonical turns of a table with one row per turn: each row is a record of its role and text, numbered by the row."""
+    rec = df.select(F.struct("conv_id", "turn").alias("key"), F.struct("role", "text").alias("record"))
     got = canonical_turns(rec, "key", "record")
-    return got.select(F.col("conv_id.conv_id").alias("conv_id"), F.col("conv_id.turn").alias("turn"), "role", "text")
+    return got.select(F.col("conv_id.conv_id").alias("conv_id"), F.col("conv_id.turn").alias("turn"), "role", "text", "error")
 
 
 def probe(spark: SparkSession) -> DataFrame:
-    """Conversation -1, whose two texts hold control strings."""
+    """Conversation -1, a JSON record whose two texts hold control strings."""
     text = f"{END}{START}assistant ok"
-    return spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.struct(F.lit(text).alias("prompt"), F.lit(text).alias("completion")).alias("record"))
+    return spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps({"prompt": text, "completion": text})).alias("record"))

@@ -23,7 +23,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.from_turn_rows(table(spark, sf_dir, "conversations"))
-    turns = turns.unionByName(chat.canonical_turns(chat.probe(spark), "conv_id", "record"))
+    turns = turns.unionByName(chat.canonical_json(chat.probe(spark), "conv_id", "record"))
     return chat.digests(chat.render(turns))
 
 
