@@ -176,15 +176,19 @@ def disclosure(n: Column, total: Column, n_x: Column, rows: int) -> Column:
 
 
 def revealing_terms(pairs: DataFrame, counts: DataFrame, rows: int, least: float = DISCLOSURE) -> DataFrame:
-    """``(term, general)``: the terms to mark, and the form that may stay of each, null if none may."""
+    """``(term, general)``: the terms to mark, and the form that may stay of each, null if none may.
+
+    Only tables of accepted terms and their prefixes are joined by prefix, so a prefix of many terms is no hot key.
+    """
     judged = pairs.join(counts, "term").withColumn("d", disclosure(F.col("n"), F.col("total"), F.col("n_x"), rows))
-    accepted = judged.where(F.col("d") >= least).select("term").distinct()
-    prefix = F.substring("term", 1, PREFIX).alias("prefix")
-    wide = accepted.select("term", prefix)
-    totals = counts.select(prefix, "total").join(wide.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.sum("total").alias("total"))
-    of_prefix = pairs.select("k", "entity", prefix, "n", "n_x").groupBy("k", "entity", "prefix", "n_x").agg(F.sum("n").alias("n"))
-    worst = of_prefix.join(totals, "prefix").groupBy("prefix").agg(F.max(disclosure(F.col("n"), F.col("total"), F.col("n_x"), rows)).alias("d"))
-    return wide.join(worst, "prefix").select("term", F.when(F.col("d") < least, F.concat("prefix", F.lit("*"))).alias("general"))
+    prefix = F.substring("term", 1, PREFIX).alias("prefix_term")
+    wide = cut(judged.where(F.col("d") >= least).select("term").distinct().select("term", prefix))
+    asked = _small(wide.select("prefix_term").distinct())
+    totals = cut(counts.select(prefix, "total").join(asked, "prefix_term", "left_semi").groupBy("prefix_term").agg(F.sum("total").alias("total")))
+    of_prefix = pairs.select("k", "entity", prefix, "n", "n_x").join(asked, "prefix_term", "left_semi")
+    of_prefix = of_prefix.groupBy("k", "entity", "prefix_term", "n_x").agg(F.sum("n").alias("n")).join(_small(totals), "prefix_term")
+    worst = of_prefix.groupBy("prefix_term").agg(F.max(disclosure(F.col("n"), F.col("total"), F.col("n_x"), rows)).alias("d"))
+    return wide.join(worst, "prefix_term").select("term", F.when(F.col("d") < least, F.concat("prefix_term", F.lit("*"))).alias("general"))
 
 
 def mark_terms(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
