@@ -52,6 +52,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a counted table of short rows is broadcast; beyond, Spark shuffles the join.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df``, broadcast if it is counted (or its ``weight`` summed) and found within ``BROADCAST_ROWS``.
+
+    For tables already materialised, of rows of bounded width.
+    """
+    n = df.agg(F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n_rows: int | None = None, least: int = 500, share: int = 1000, slices: int = 32) -> DataFrame:
+    """Join on ``key``, of which ``right`` has one row each and ``left`` may have any number.
+
+    A key of more than one ``share``-th of ``left``'s rows (and more than
+    ``least``) is hot; there are fewer than ``share`` of them.  Their rows are
+    dealt by a hash of the whole row, and their rows in ``right`` repeated for
+    each slice, so no task gets a hot key alone.  ``n_rows`` saves the count.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    limit = max(least, (left.count() if n_rows is None else n_rows) // share)
+    hot = [r[0] for r in counts.where((F.col("n") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    left = left.withColumn("__part", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(slices))).otherwise(F.lit(0).cast("long")))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, F.lit(slices - 1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    return left.join(right.withColumn("__part", parts), [key, "__part"], how).drop("__part")
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0)) % n

@@ -1,16 +1,25 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by the Jaccard similarity of word shingles: SimHash links, completed and verified.
 
 Words are as in ``simhash``; a text's shingles are the distinct runs of
 ``words`` words, as XXH64 (seed 42); a text of fewer words is one shingle, an
-empty or null text none, and two texts without shingles are alike.
-
-Texts with equal shingles are one node.  A node has ``BANDS`` keys, each of
-``ROWS`` minima over permuted shingles, and candidates are the nodes that share
-a key: two nodes of similarity 0.8 share none with a probability of 0.2 %, of
-0.9 with less than one in a million.  Only keys with two or more nodes go on;
-their nodes' shingles are read again and each group is searched breadth first
-by the exact similarity, so every link is verified and no group emits its
-pairs: one edge for each node reached.
+empty or null text none, and two texts without shingles are alike.  Texts with
+equal shingles are one node.
+
+Candidates come from two sides.  ``simhash.link_edges`` links the SimHashes of
+these shingles (pigeonring index, chains, full Hamming check).  Its four
+differing bits reach only part of the pairs of similarity 0.8, since such pairs
+differ in some ten bits, which no index of segments can serve; so each node also
+has ``BANDS`` keys, each of ``ROWS`` minima over permuted shingles, and nodes
+that share a key are candidates: two nodes of similarity 0.8 share none with a
+probability of 0.2 %, of 0.9 with less than one in a million.
+
+Keys with the same nodes are searched once.  Their nodes' shingles are read
+again and each group is searched breadth first by the exact similarity, so every
+link is verified and no group emits its pairs: one edge for each node reached.
+
+Rows that share an id are told apart by their text, a null id comes last, of
+equal rows one stays; texts of any length are read whole; an empty table gives
+an empty result; columns under any other names pass through.
 """
 
 from __future__ import annotations
@@ -23,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, ship
-from .simhash import SEED, connected_components
+from . import simhash
+from .common import cut, map_texts, salted_join, ship, small
+from .simhash import SEED, connected_components, shingle_hashes, simhash_of
 
 WORDS = 5
 LEAST = 0.8
@@ -37,10 +47,7 @@ _ODD |= np.uint64(1)
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    h = xxhash.xxh64_intdigest
-    runs = (b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1)))
-    return np.unique(np.fromiter((h(r, SEED) for r in runs), np.uint64)) if w else np.zeros(0, np.uint64)
+    return np.unique(shingle_hashes(text, words))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -110,7 +117,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     null_id = F.lit(-(1 << 63)).cast("long")
     keep = [F.coalesce(F.col(id_col), null_id).alias("__id"), F.col(id_col).isNull().alias("none"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
 
-    def signed(x: np.ndarray) -> np.ndarray:
+    def signed(x) -> np.ndarray:
         return np.asarray(x, np.uint64).view(np.int64)
 
     def node(sh: np.ndarray) -> int:
@@ -118,40 +125,65 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def make_keys():
         def one(texts):
-            all_sh = [shingles(t, words) for t in texts]
-            return [signed([node(s) for s in all_sh]), [band_keys(s).tobytes() for s in all_sh]]
+            every = [shingle_hashes(t, words) for t in texts]
+            sets = [np.unique(h) for h in every]
+            return [signed([node(s) for s in sets]), [band_keys(s).tobytes() for s in sets], signed([simhash_of(h) for h in every])]
 
         return one
 
     def make_sets():
         def one(texts):
-            all_sh = [shingles(t, words) for t in texts]
-            return [signed([node(s) for s in all_sh]), [s.tobytes() for s in all_sh]]
+            sets = [shingles(t, words) for t in texts]
+            return [signed([node(s) for s in sets]), [s.tobytes() for s in sets]]
 
         return one
 
-    docs = cut(map_texts(df, keep, F.col(text_col), [("node", "bigint"), ("bands", "binary")], make_keys))
+    docs = cut(map_texts(df, keep, F.col(text_col), [("node", "bigint"), ("bands", "binary"), ("fp", "bigint")], make_keys))
+    nodes = cut(docs.groupBy("node").agg(F.min("bands").alias("bands"), F.min("fp").alias("fp"), F.min(F.struct("__id", "__hash")).alias("as")))
     at = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    each = docs.groupBy("node").agg(F.min("bands").alias("bands"), F.min(F.struct("__id", "__hash")).alias("as"))
-    each = each.select("node", "as", F.explode(F.transform(at, lambda k: F.substring("bands", k * 8 + 1, F.lit(8)))).alias("key"))
-    keys = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    pairs = cut(each.join(keys, "key"))
+    banded = nodes.select("node", F.explode(F.transform(at, lambda k: F.conv(F.hex(F.substring("bands", k * 8 + 1, F.lit(8))), 16, -10).cast("long"))).alias("key"))
+    groups = banded.unionByName(linked_pairs(nodes))
+    # a group is told by its size and two sums over its nodes
+    told = groups.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("b"))
+    once = told.where("n > 1").groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key")
+    pairs = cut(groups.join(once, "key").distinct())
     # one text for each node that shares a key is read again
-    some = pairs.select("as.__id", "as.__hash").distinct()
-    texts = df.select(*keep, F.col(text_col).alias("__t")).join(some, ["__id", "__hash"], "left_semi")
+    some = cut(nodes.join(pairs.select("node").distinct(), "node", "left_semi").select("as.__id", "as.__hash"))
+    texts = df.select(*keep, F.col(text_col).alias("__t")).join(small(some), ["__id", "__hash"], "left_semi")
     sets = map_texts(texts, [], F.col("__t"), [("node", "bigint"), ("sh", "binary")], make_sets).dropDuplicates(["node"])
     roots = connected_components(link_edges(pairs.join(sets, "node"), least)).withColumnRenamed("v", "node")
-    return docs.join(roots, "node", "left").select("__id", "__hash", "none", F.coalesce("root", "node").alias("root"))
+    return salted_join(docs.drop("bands", "fp"), roots, "node", "left").select("__id", "__hash", "none", F.coalesce("root", "node").alias("root"))
+
+
+def linked_pairs(nodes: DataFrame) -> DataFrame:
+    """``(key, node)``: groups of two nodes that SimHash links, or that share a fingerprint.
+
+    One node stands for those of a fingerprint.
+    """
+    reps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = salted_join(nodes.select("fp", "node"), reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    edges = cut(simhash.link_edges(reps, direct=True))
+    left = salted_join(edges, reps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u")
+    both = salted_join(left, reps.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
+    pairs = same.unionByName(both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """Rows of ``df``, all columns, that stay: in each class the one with the smallest id, null last.
 
     Rows that share an id are told apart by their text; of equal rows one stays.
+    Only texts whose id and hash a dropped or repeated row has are looked at
+    again; all others pass as they are while that table is small enough to broadcast.
     """
     order = F.struct("none", "__id", "__hash")
-    kept = near_copies(df, id_col, text_col, words, least).groupBy("root").agg(F.min(order).alias("k")).select("k.__id", "k.__hash")
+    rows = cut(near_copies(df, id_col, text_col, words, least))
+    kept = rows.groupBy("root").agg(F.min(order).alias("k")).select("k.none", "k.__id", "k.__hash")
+    keys = rows.groupBy("none", "__id", "__hash").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), ["none", "__id", "__hash"], "left")
+    touched = small(cut(keys.where("stays IS NULL OR n > 1").select("none", "__id", "__hash", "stays")))
     null_id = F.lit(-(1 << 63)).cast("long")
-    rows = df.withColumn("__id", F.coalesce(F.col(id_col), null_id)).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    again = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
-    return rows.join(kept, ["__id", "__hash"], "left_semi").withColumn("__n", again).where("__n = 1").drop("__id", "__hash", "__n")
+    marks = {"none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), null_id), "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[m.alias(k) for k, m in marks.items()])
+    again = keyed.join(touched, list(marks), "left_semi").join(small(touched.where("stays")), list(marks), "left_semi")
+    again = again.withColumn("__n", F.row_number().over(Window.partitionBy(*marks).orderBy(F.lit(0)))).where("__n = 1").select("__row")
+    return keyed.join(touched, list(marks), "left_anti").select("__row").unionByName(again).select("__row.*")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, ship
+from .common import cut, map_texts, salted_join, ship
 
 SEED = 42
 MAX_DIFF = 4
@@ -45,24 +45,31 @@ _OFFSETS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
 _BLOCK = 1 << 15
 
 
-def fingerprint64(text: str | None, words_per_shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of one whole text."""
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order, repeats included; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - words_per_shingle + 1)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[words_per_shingle - 1 :] if len(words) >= words_per_shingle else ends[-1:]
     h = xxhash.xxh64_intdigest
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())), "<u8", len(last))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes; zero without any."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        spans = zip(starts[at : at + _BLOCK].tolist(), last[at : at + _BLOCK].tolist())
-        hashes = np.fromiter((h(joined[a:b], SEED) for a, b in spans), "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint64(text: str | None, words_per_shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash of one whole text."""
+    return simhash_of(shingle_hashes(text, words_per_shingle))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
@@ -110,25 +117,26 @@ def _linked(x: np.ndarray, start: int) -> np.ndarray:
     return alive & (np.bitwise_count(x) <= MAX_DIFF)
 
 
-def group_edges(fp: np.ndarray, start: int) -> list[tuple[np.ndarray, int]]:
-    """Breadth-first search of one group: (members, smallest member) of each part of two or more."""
+def group_edges(fp: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Breadth-first search of one group: (members, the member each was reached from) of each part of two or more."""
     rest, out = np.unique(fp), []
     while len(rest):
-        reached, queue, rest = [rest[:1]], [rest[0]], rest[1:]
+        reached, parents, queue, rest = [rest[:1]], [rest[:1]], [rest[0]], rest[1:]
         while queue and len(rest):
-            near = _linked(rest ^ queue.pop(), start)
+            now = queue.pop()
+            near = _linked(rest ^ now, start)
             if near.any():
                 reached.append(rest[near])
+                parents.append(np.full(near.sum(), now, np.uint64))
                 queue.extend(rest[near])
                 rest = rest[~near]
         if len(reached) > 1:
-            members = np.concatenate(reached)
-            out.append((members, members.min()))
+            out.append((np.concatenate(reached), np.concatenate(parents)))
     return out
 
 
-def _edges_of(keys: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges of all whole groups in arrays sorted by key."""
+def _edges_of(keys: np.ndarray, fp: np.ndarray, direct: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of all whole groups in arrays sorted by key: to each part's smallest member, or between linked members."""
     us, vs = [], []
     bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     sizes = np.diff(bounds)
@@ -141,10 +149,10 @@ def _edges_of(keys: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[
         us.append(np.maximum(a, b)[ok])
         vs.append(np.minimum(a, b)[ok])
     for k in np.flatnonzero(sizes > 2):
-        for members, least in group_edges(fp[bounds[k] : bounds[k + 1]], int(starts[bounds[k]])):
-            members = members[members != least]
-            us.append(members)
-            vs.append(np.full(len(members), least, np.uint64))
+        for members, parents in group_edges(fp[bounds[k] : bounds[k + 1]], int(starts[bounds[k]])):
+            to = parents if direct else np.full(len(members), members.min(), np.uint64)
+            us.append(members[members != to])
+            vs.append(to[members != to])
     return us, vs
 
 
@@ -152,8 +160,12 @@ def _batch(names: list[str], *arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.uint64).view(np.int64)) for a in arrays], names=names)
 
 
-def link_edges(fps: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect every class of distinct fingerprints in column ``fp``."""
+def link_edges(fps: DataFrame, direct: bool = False) -> DataFrame:
+    """Edges ``(u, v)`` that connect every class of distinct fingerprints in column ``fp``.
+
+    ``direct`` edges are links themselves; the others lead to the smallest
+    member that a group's search reached, which takes fewer rounds to settle.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +179,7 @@ def link_edges(fps: DataFrame) -> DataFrame:
         parts_f: list[np.ndarray] = []
 
         def flush(k, f):
-            us, vs = _edges_of(k, f)
+            us, vs = _edges_of(k, f, direct)
             return _batch(["u", "v"], np.concatenate(us), np.concatenate(vs))
 
         for b in batches:
@@ -196,7 +208,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; each round works on at most as
     many edges as there were, is written to the shared folder, and the loop ends
-    once a round changes nothing.
+    once a round changes nothing.  A class's smallest member gathers edges from
+    all others, so the large-star step deals hot nodes in slices; towards smaller
+    nodes a node has at most one edge for each group it is in.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -209,7 +223,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = stamp(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = salted_join(both, least(both), "u", n_rows=2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = down.join(least(down), "u")
@@ -230,9 +244,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = cut(fingerprints(df, id_col, text_col, words_per_shingle))
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = connected_components(link_edges(fps)).withColumnRenamed("v", "fp")
-    fps = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = fps.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return docs.join(fps.join(classes, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # fingerprints without a link are their own class; the others look their class up, hot classes in slices
+    linked = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    classes = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = salted_join(linked.select("fp", "root"), classes, "root")
+    return salted_join(docs, named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex_fp(fp: Column) -> Column:

@@ -81,6 +81,28 @@ def test_group_of_near_copies_gives_one_edge_a_member():
     assert len(shingles.search(list(range(200)), sets)) == 199
 
 
+def test_groups_of_the_same_nodes_are_searched_once(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(k, " ".join(edited(rng, words, 1) if k else words)) for k in range(6)]
+    searched = []
+    plain = shingles.link_edges
+    monkeypatch.setattr(shingles, "link_edges", lambda g, least: searched.append(g.select("key").distinct().count()) or plain(g, least))
+    assert len({r.root for r in shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}) == 1
+    assert searched[0] < shingles.BANDS
+
+
+def test_simhash_links_are_candidates(spark, monkeypatch):
+    """Without the keys, SimHash links alone bring close copies together; far ones are verified away."""
+    monkeypatch.setattr(shingles, "BANDS", 1)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(4000)}" for _ in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rng, words, 2))), (3, " ".join(words + words[:40]))]
+    nodes = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string")
+    got = shingles.one_of_each(nodes).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 def test_columns_of_other_names(tricky, nothing):
     got = shingles.one_of_each(tricky.withColumn("bands", F.lit("x")).withColumn("node", F.lit(1)))
     assert 0 < got.count() < tricky.count()

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rowloom.llm import simhash
+from rowloom.llm.common import salted_join
 
 
 def brute_fingerprint(text):
@@ -97,3 +98,53 @@ def test_whole_group_in_one_key():
     keys = np.zeros(len(fps), np.int64)
     us, vs = simhash._edges_of(keys, fps)
     assert set(zip(np.concatenate(us).tolist(), np.concatenate(vs).tolist())) <= {(int(f), 0) for f in fps}
+
+
+def test_direct_edges_are_links_and_connect_the_same(spark):
+    rng = random.Random(8)
+    fps = set()
+    for _ in range(30):
+        g = rng.getrandbits(64)
+        for _ in range(9):
+            fps.add(g)
+            for b in rng.sample(range(64), 3):
+                g ^= 1 << b
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(fps)], "fp long")
+    direct = simhash.link_edges(df, direct=True)
+    assert all((r.u ^ r.v).bit_count() <= 4 or ((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 4 for r in direct.collect())
+    parts = lambda e: {(r.v, r.root) for r in simhash.connected_components(e).collect()}
+    classes = {}
+    for name, e in (("direct", direct), ("least", simhash.link_edges(df))):
+        label = {}
+        for v, root in parts(e):
+            label.setdefault(root, {root}).add(v)
+        classes[name] = {frozenset(c) for c in label.values()}
+    assert classes["direct"] == classes["least"]
+
+
+def test_components_with_a_hub(spark):
+    edges = [(k, 0) for k in range(1, 3000)] + [(k, k - 1) for k in range(5001, 5040)] + [(9000, 9001)]
+    got = {r.v: r.root for r in simhash.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[k] == 0 for k in range(1, 3000)) and all(got[k] == 5000 for k in range(5001, 5040)) and got[9001] == 9000
+
+
+def test_salted_join_equals_a_join(spark):
+    left = spark.createDataFrame([(k, 7 if k % 3 else k, "x") for k in range(3000)] + [(1, None, "y")], "i long, key long, s string")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 3000, 2)] + [(7, "r7")], "key long, r string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "key", how).select("i", "key", "s", "r").collect()))
+        got = salted_join(left, right, "key", how, least=10, share=5)
+        assert sorted(map(str, got.select("i", "key", "s", "r").collect())) == want and got.columns == ["key", "i", "s", "r"]
+
+
+def test_hot_fingerprints_and_classes(spark):
+    rows = [(k, "" if k % 2 else f"same words here now {k % 700}") for k in range(4000)] + [(None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    want = brute_components([(i, f) for i, f in {(i, brute_fingerprint(t)) for i, t in rows} if f or i in (1, None)])
+    named = {}
+    for r in got:
+        named.setdefault(r.fp & (2**64 - 1), set()).add(r.component_id)
+    assert len(got) == len(rows) and all(len(c) == 1 for c in named.values())
+    of = dict(want)
+    assert all(str(r.component_id) == of.get(str(r.doc_id), "1") for r in got)
