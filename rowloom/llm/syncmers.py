@@ -27,6 +27,7 @@ result; columns other than id and text are not read, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,13 +58,16 @@ def anchors_of(text: Column) -> Column:
         n = F.length(code) / 4
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n.cast("int") - S))
 
-        def pick(h: Column):
-            def one(x: Column, i: Column) -> Column:
-                last = F.get(h, i + inner)
-                between = F.least(*[F.get(h, i + d) for d in range(1, inner)])
-                return F.when(last.isNotNull() & ((x <= F.least(between, last)) | (last <= F.least(between, x))), anchor(code, i, K))
+        def pick(h: Column) -> Column:
+            # comparisons end at the first that fails, after three or so
+            def first(x: Column, i: Column) -> Column:
+                return F.when(reduce(lambda c, d: c & (x <= F.get(h, i + d)), range(1, inner + 1), i < F.size(h) - inner), i)
 
-            return F.array_compact(F.transform(h, one))
+            def last(x: Column, i: Column) -> Column:
+                return F.when(reduce(lambda c, d: c & (x <= F.get(h, i - d)), range(1, inner + 1), i >= inner), i - inner)
+
+            at = F.sort_array(F.array_union(F.array_compact(F.transform(h, first)), F.array_compact(F.transform(h, last))))
+            return F.transform(at, lambda i: anchor(code, i, K))
 
         whole = F.array(anchor(code, F.lit(0), n.cast("int")))
         many = _let(F.transform(starts, lambda i: run(code, i, S)), pick)
@@ -84,11 +88,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 def text_of(anchors: Column) -> Column:
     """Fingerprint string: 9 hex digits an anchor, 8 of its hash and one of its distance from the anchor before."""
-    low = lambda a: F.coalesce(a, F.lit(0)).bitwiseAND(F.lit((1 << 32) - 1))
+    # neighbours lie less than 16 apart, so the last hex digit of both positions gives the distance
+    last = lambda a: a.bitwiseAND(F.lit(15))
 
     def digits(x: Column) -> Column:
         def one(a: Column, i: Column) -> Column:
-            return F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(a, 32), 4) + (low(a) - low(F.get(x, i - 1)))), 9, "0")
+            step = F.coalesce((last(a) - last(F.get(x, i - 1))).bitwiseAND(F.lit(15)), last(a))
+            return F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(a, 32), 4) + step), 9, "0")
 
         return F.lower(F.array_join(F.transform(x, one), ""))
 
@@ -101,15 +107,20 @@ def spliced(a: Column, n_a: Column, b: Column, n_b: Column, seam: Column) -> Col
     ``a`` and ``b`` are their anchors; ``seam`` is the text across the seam, up
     to K - 1 code points on either side.  Both texts must have ``WIDE`` code points or more.
     """
+    low = F.lit((1 << 32) - 1)
+
+    # lengths are bound once: a lambda over anchors would work out a column's expression at each of them
     def moved(x: Column, by: Column) -> Column:
-        return F.transform(x, lambda v: v + by.cast("long"))
+        return _let(by.cast("long"), lambda d: F.transform(x, lambda v: v + d))
 
     def within(x: Column, n: Column) -> Column:
-        return F.filter(x, lambda v: v.bitwiseAND(F.lit((1 << 32) - 1)) + K <= n)
+        return _let(n.cast("long") - K, lambda last: F.filter(x, lambda v: v.bitwiseAND(low) <= last))
+
+    def across(between: Column) -> Column:
+        return F.when(F.char_length(between) >= K, moved(anchors_of(between), F.greatest(n_a - (K - 1), F.lit(0))))
 
-    across = F.when(F.char_length(seam) >= K, moved(anchors_of(seam), F.greatest(n_a - (K - 1), F.lit(0))))
     none = F.array().cast("array<bigint>")
-    return F.concat(within(a, n_a), F.coalesce(across, none), moved(within(b, n_b), n_a))
+    return F.concat(within(a, n_a), F.coalesce(_let(seam, across), none), moved(within(b, n_b), n_a))
 
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -159,7 +170,7 @@ def id_ranges(df: DataFrame, n: int) -> Column:
     return _let(below, number).cast("int")
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, made: dict[str, Column], cols: dict[str, str], ranges: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, made: list[dict[str, Column]], cols: dict[str, str], ranges: int | None = None) -> DataFrame:
     """Add the ``made`` columns, then ``cols[c]``: column ``c`` of the next row by descending id; after the last comes the first.
 
     Rows are dealt by range and ordered inside it; the first row of the range
@@ -179,7 +190,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str, made: dict[str, Column]
         guests = df.join(visits, ["__key", "__hash"]).withColumn("__range", F.col("__to")).drop("__to").withColumn("__guest", F.lit(True))
         df = df.unionByName(guests)
     # one partition per range: no range waits behind another in the same task
-    df = df.repartitionById(max(used, default=0) + 1, "__range").withColumns(made)
+    df = df.repartitionById(max(used, default=0) + 1, "__range")
+    df = reduce(DataFrame.withColumns, made, df)
     # the very first row visits the lowest range, after all of its rows; elsewhere ids order the guest last
     w = Window.partitionBy("__range").orderBy(F.col("__guest").asc(), F.col("__key").desc(), F.col("__hash").asc(), F.col(text_col))
     df = df.withColumn("__next", F.lead(F.struct(*cols)).over(w)).where("NOT __guest")
@@ -198,8 +210,8 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as many of the next document, by descending id.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = {"anchors": anchors_of(F.col("text"))}
-    docs = with_next(docs, "doc_id", "text", made, {"text": "next_text", "anchors": "next_anchors"})
+    made = [{"anchors": anchors_of(F.col("text"))}, {"own": hashes(F.col("anchors"))}]
+    docs = with_next(docs, "doc_id", "text", made, {"text": "next_text", "anchors": "next_anchors", "own": "of_next"})
     docs = docs.withColumn("n_chars", F.char_length("text"))
     docs = docs.withColumn("half", F.floor(F.col("n_chars") / 2).cast("int")).withColumn("stays", F.col("n_chars") - F.col("half"))
     docs = docs.withColumn("head", F.substring("text", F.lit(1), F.col("stays"))).withColumn("tail", F.substring("next_text", F.lit(1), F.col("half")))
@@ -210,7 +222,7 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.withColumn("edited", edited)
     wide = (F.char_length("edited") >= WIDE) & (F.char_length("next_text") >= WIDE)
     docs = docs.withColumn("edited_anchors", F.when(wide, whole).otherwise(anchors_of(F.col("edited"))))
-    docs = docs.withColumns({"own": hashes(F.col("anchors")), "of_edited": hashes(F.col("edited_anchors")), "of_next": hashes(F.col("next_anchors"))})
+    docs = docs.withColumns({"of_edited": hashes(F.col("edited_anchors"))})
     return docs.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         text_of(F.col("anchors")).alias("fingerprint"), text_of(F.col("edited_anchors")).alias("edited_fingerprint"),
