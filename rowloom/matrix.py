@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import expand_home
 from .operators import rows
+from .operators.pairs import PairQC, pair_qc
 from .sources import files, store
 
 
@@ -71,7 +72,7 @@ class ExpressionMatrix:
         if isinstance(key, bool) or not isinstance(key, Integral):
             raise TypeError("a row is given by one integer index or one feature ID")
         if not 1 <= key <= self.shape[0]:
-            raise IndexError(f"the index must be an integer in the range [1, {self.shape[0]}]")
+            raise IndexError(f"row {key} does not exist: rows run from 1 to {self.shape[0]}")
         return int(key) - 1
 
     def row_df(self, key: int | str, dense: bool = False) -> DataFrame:
@@ -114,6 +115,21 @@ class ExpressionMatrix:
         """1-based cells of a row with a stored count of ``threshold`` or more."""
         return rows.threshold_row(self.entries, self.index_of(key), threshold)
 
+    def positions(self, key: int | str, cells_in_use: DataFrame) -> DataFrame:
+        """``pos``: 1-based positions in ``cells_in_use(pos, cell_idx)`` of a row's stored entries."""
+        return rows.masked_positions(self.entries, self.index_of(key), cells_in_use)
+
+    def pair_qc(self, cells_in_use: DataFrame, groups: DataFrame, controls: DataFrame, pairs: DataFrame, all_controls: DataFrame | None = None) -> PairQC:
+        """Nonzero-cell counts of response-perturbation pairs and of the control guides, in one call.
+
+        Lists are given by 1-based position in ``cells_in_use(pos, cell_idx)``:
+        ``groups(group_id, pos)``, and ``controls(nt_id, pos)`` if cells outside a
+        pair's group are its control (the complement).  With ``all_controls(nt_pos,
+        pos)`` the control cells are the control, and ``controls(nt_id, nt_pos)``
+        refers to that list.  ``pairs(feature_idx, group_id)`` are 0-based features.
+        """
+        return pair_qc(self.entries, self.features, cells_in_use, groups, controls, pairs, all_controls)
+
     def nnz_per_feature(self) -> DataFrame:
         return rows.nnz_per_feature(self.entries, self.features)
 

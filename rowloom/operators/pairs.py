@@ -9,7 +9,9 @@ pairs or features is needed.  ``by_position`` turns position lists into cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,17 +56,75 @@ def totals(y: DataFrame, features: DataFrame, controls: DataFrame | None = None)
     return features.select("feature_idx").join(got, "feature_idx", "left").select("feature_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n_nonzero_tot"))
 
 
+#: Group that stands for the control.
+CONTROL = -1
+
+
+def members_of(groups: DataFrame, controls: DataFrame | None) -> DataFrame:
+    """``(cell_idx, of)``: the groups of each cell, as structs (group_id, times); the control is group ``CONTROL``."""
+    rows = groups.select("group_id", "cell_idx")
+    if controls is not None:
+        rows = rows.unionByName(controls.select(F.lit(CONTROL).alias("group_id"), "cell_idx"))
+    return lists_of(rows.groupBy("cell_idx", "group_id").agg(F.count("*").alias("times")))
+
+
+def lists_of(members: DataFrame) -> DataFrame:
+    """``(cell_idx, of)`` from ``(cell_idx, group_id, times)``; a cell's list is at most as long as there are groups."""
+    one = F.struct(F.col("group_id").cast("int").alias("group_id"), F.col("times").cast("long").alias("times"))
+    return members.groupBy("cell_idx").agg(F.collect_list(one).alias("of"))
+
+
 def pair_counts(y: DataFrame, groups: DataFrame, pairs: DataFrame, controls: DataFrame | None = None) -> DataFrame:
     """``(feature_idx, group_id, n_nonzero_trt, n_nonzero_cntrl)`` of each pair.
 
     With ``controls`` the control count is the total over those cells, treated
     cells not removed; without, it is the complement of the treatment group.
     """
+    return count_pairs(y, members_of(groups, controls), pairs, complement=controls is None)
+
+
+def count_pairs(y: DataFrame, members: DataFrame, pairs: DataFrame, complement: bool) -> DataFrame:
+    """The same from the list of groups of each cell (see ``members_of``).
+
+    Entries are joined once, by cell, and counted once, by (feature, group) with
+    partial sums; in the complement every entry also counts for the control.
+    Pairs and counts then meet in one exchange by feature.
+    """
     needed = y.join(pairs.select("feature_idx").distinct(), "feature_idx", "left_semi")
-    trt = counts_by_group(needed, groups, "group_id")
-    tot = totals(needed, pairs.select("feature_idx").distinct(), controls)
-    got = pairs.select("feature_idx", "group_id").join(trt, ["feature_idx", "group_id"], "left").join(tot, "feature_idx", "left")
-    n_trt = F.coalesce("n_nonzero", F.lit(0)).cast("long")
-    n_tot = F.coalesce("n_nonzero_tot", F.lit(0))
-    control = n_tot if controls is not None else n_tot - n_trt
-    return got.select("feature_idx", "group_id", n_trt.alias("n_nonzero_trt"), control.alias("n_nonzero_cntrl"))
+    of = F.col("of")
+    if complement:
+        whole = F.array(F.struct(F.lit(CONTROL).alias("group_id"), F.lit(1).cast("long").alias("times")))
+        of = F.concat(whole, F.coalesce(of, F.array().cast("array<struct<group_id:int,times:bigint>>")))
+    rows = needed.join(members, "cell_idx", "left" if complement else "inner").select("feature_idx", F.inline(of))
+    counts = rows.groupBy("feature_idx", "group_id").agg(F.sum("times").alias("n")).withColumn("asked", F.lit(False))
+    both = counts.unionByName(pairs.select(F.col("feature_idx").cast("int"), F.col("group_id").cast("int"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    by_feature = Window.partitionBy("feature_idx")
+    total = F.sum(F.when((F.col("group_id") == CONTROL) & ~F.col("asked"), F.col("n"))).over(by_feature.orderBy("group_id").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = F.sum("n").over(Window.partitionBy("feature_idx", "group_id"))
+    got = both.repartition("feature_idx").withColumn("tot", F.coalesce(total, F.lit(0))).withColumn("n_nonzero_trt", own).where("asked")
+    control = F.col("tot") - F.col("n_nonzero_trt") if complement else F.col("tot")
+    return got.select("feature_idx", "group_id", "n_nonzero_trt", control.alias("n_nonzero_cntrl"))
+
+
+@dataclass(frozen=True)
+class PairQC:
+    """Counts of nonzero cells: ``matrix(nt_id, feature_idx, n_nonzero)``, ``totals(feature_idx, n_nonzero_tot)`` and
+    ``pairs(feature_idx, group_id, n_nonzero_trt, n_nonzero_cntrl)``."""
+
+    matrix: DataFrame
+    totals: DataFrame
+    pairs: DataFrame
+
+
+def pair_qc(entries: DataFrame, features: DataFrame, cells_in_use: DataFrame, groups: DataFrame, controls: DataFrame, pairs: DataFrame, all_controls: DataFrame | None = None) -> PairQC:
+    """All counts from position lists; see ``ExpressionMatrix.pair_qc``.
+
+    The total of a feature is the sum over the control guides' lists, or with
+    the complement as the control its number of nonzero cells in use.
+    """
+    y = nonzero(entries, cells_in_use)
+    treated = by_position(groups, cells_in_use)
+    listed = by_position(controls if all_controls is None else redirect(controls, all_controls), cells_in_use)
+    control = None if all_controls is None else listed
+    ids = controls.select("nt_id").distinct()
+    return PairQC(nonzero_matrix(y, listed, features, ids), totals(y, features, control), pair_counts(y, treated, pairs, control))

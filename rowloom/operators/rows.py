@@ -37,6 +37,32 @@ def masked_row(entries: DataFrame, feature_idx: int, cells_in_use: DataFrame) ->
     return sparse_row(entries, feature_idx, values=False).join(cells_in_use.select("cell_idx"), "cell_idx", "left_semi")
 
 
+def masked_positions(entries: DataFrame, feature_idx: int, cells_in_use: DataFrame) -> DataFrame:
+    """``pos``: where in ``cells_in_use(pos, cell_idx)`` the stored entries of one feature stand; values are not read."""
+    return sparse_row(entries, feature_idx, values=False).join(cells_in_use.select("pos", "cell_idx"), "cell_idx").select("pos")
+
+
+def numbered(cells: DataFrame, start: int = 1, span: int = 16) -> DataFrame:
+    """``cells`` with ``pos``, their number in order of ``cell_idx``, from ``start``.
+
+    Cells are numbered within blocks of ``2 ** span`` indices, and blocks by a
+    running sum over one row each, so no task sorts all cells.
+    """
+    block = F.shiftright("cell_idx", span)
+    cells = cells.withColumn("__block", block)
+    sizes = cells.groupBy("__block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__block").orderBy("cell_idx"))
+    return cells.join(sizes, "__block").withColumn("pos", (F.col("__before") + own + (start - 1)).cast("int")).drop("__block", "__before")
+
+
+def submatrix(entries: DataFrame, cells: DataFrame, batch: str) -> DataFrame:
+    """Entries of the cells of one batch, which are numbered anew from 0; ``cells(cell_idx, batch)``."""
+    own = numbered(cells.where(F.col("batch") == batch).select("cell_idx"), start=0)
+    return entries.join(own, "cell_idx").select("feature_idx", F.col("pos").alias("cell_idx"), "x")
+
+
 def nnz_per_feature(entries: DataFrame, features: DataFrame) -> DataFrame:
     """``(feature_idx, nnz)`` of every feature, also of those without entries."""
     counts = entries.groupBy("feature_idx").agg(F.count("*").alias("nnz"))

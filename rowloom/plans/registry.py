@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from ..operators import collapse, normalize, pairs, rows
 from ..operators.covariates import covariates
 from ..schemas import MODALITIES
 from ..sources import files, memory, mtx, store
+from ..streaming import append
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +68,7 @@ nt AS (SELECT CAST(s_suppkey AS INT) AS nt_id FROM supplier WHERE s_nationkey IN
 controls AS (SELECT s AS nt_id, c FROM assigned WHERE s IN (SELECT nt_id FROM nt)),
 all_nt AS (SELECT DISTINCT c FROM controls),
 treated AS (SELECT DISTINCT CAST(n AS INT) AS group_id, c FROM assigned),
-pairs AS (SELECT CAST(p_partkey AS INT) AS feature_idx, CAST(n_nationkey AS INT) AS group_id FROM part, nation WHERE p_partkey % 20 = 0),
+pairs AS (SELECT CAST(p_partkey AS INT) AS feature_idx, CAST(n_nationkey AS INT) AS group_id FROM part, nation),
 trt AS (SELECT f, group_id, count(*) n FROM y JOIN treated USING (c) GROUP BY 1, 2),
 genes AS (SELECT CAST(p_partkey AS INT) AS feature_idx FROM part)"""
 
@@ -222,7 +225,7 @@ _DENSE = f"WITH {_ENTRIES} SELECT cell_idx, coalesce(x, 0) AS x FROM cells LEFT
 
 @register("row_by_index", _DENSE)
 def row_by_index(spark, sf_dir):
-    return rows.dense_row(t.entries(spark, sf_dir, "gene"), t.cells(spark, sf_dir), ROW)
+    return rows.dense_row(t.entries(spark, sf_dir, "gene", ROW), t.cells(spark, sf_dir), ROW)
 
 
 @register("row_by_feature_id", _DENSE)
@@ -230,12 +233,12 @@ def row_by_feature_id(spark, sf_dir):
     found = [r[0] for r in t.features(spark, sf_dir, "gene").where(F.col("feature_id") == ROW_ID).select("feature_idx").limit(2).collect()]
     if len(found) != 1:
         raise KeyError(ROW_ID)
-    return rows.dense_row(t.entries(spark, sf_dir, "gene"), t.cells(spark, sf_dir), found[0])
+    return rows.dense_row(t.entries(spark, sf_dir, "gene", found[0]), t.cells(spark, sf_dir), found[0])
 
 
 @register("row_sparse", f"WITH {_ENTRIES} SELECT c AS cell_idx, x FROM gene WHERE f = {ROW}")
 def row_sparse(spark, sf_dir):
-    return rows.sparse_row(t.entries(spark, sf_dir, "gene"), ROW)
+    return rows.sparse_row(t.entries(spark, sf_dir, "gene", ROW), ROW)
 
 
 @register("rows_bulk", f"WITH {_ENTRIES} SELECT f AS feature_idx, c AS cell_idx, x FROM gene WHERE f IN (SELECT f FROM mito)")
@@ -245,7 +248,7 @@ def rows_bulk(spark, sf_dir):
 
 @register("threshold_row", f"WITH {_ENTRIES} SELECT c + 1 AS cell FROM grna WHERE f = {ROW} AND x >= {t.ASSIGN}")
 def threshold_row(spark, sf_dir):
-    return rows.threshold_row(t.entries(spark, sf_dir, "grna"), ROW, t.ASSIGN)
+    return rows.threshold_row(t.entries(spark, sf_dir, "grna", ROW), ROW, t.ASSIGN)
 
 
 @register("grna_assignment", f"WITH {_ENTRIES} SELECT f AS feature_idx, c AS cell_idx FROM grna WHERE x >= {t.ASSIGN}")
@@ -255,7 +258,19 @@ def grna_assignment(spark, sf_dir):
 
 @register("masked_row", f"WITH {_QC} SELECT c AS cell_idx FROM y WHERE f = {ROW}")
 def masked_row(spark, sf_dir):
-    return rows.masked_row(t.entries(spark, sf_dir, "gene"), ROW, t.cells_in_use(spark, sf_dir))
+    return rows.masked_row(t.entries(spark, sf_dir, "gene", ROW), ROW, t.cells_in_use(spark, sf_dir))
+
+
+@register("masked_positions", f"""WITH {_QC}, numbered AS (SELECT c, CAST(row_number() OVER (ORDER BY c) AS INT) AS pos FROM in_use)
+SELECT pos FROM numbered JOIN gene USING (c) WHERE f = {ROW}""")
+def masked_positions(spark, sf_dir):
+    return rows.masked_positions(t.entries(spark, sf_dir, "gene", ROW), ROW, t.positions_in_use(spark, sf_dir))
+
+
+@register("batch_submatrix", f"""WITH {_ENTRIES}, own AS (SELECT cell_idx, CAST(row_number() OVER (ORDER BY cell_idx) - 1 AS INT) AS k FROM cells WHERE batch = 'batch_2')
+SELECT f AS feature_idx, k AS cell_idx, x FROM gene JOIN own ON cell_idx = c""")
+def batch_submatrix(spark, sf_dir):
+    return rows.submatrix(t.entries(spark, sf_dir, "gene"), t.cells(spark, sf_dir), "batch_2")
 
 
 _STARTS = [0, 50, 150, 10_000_000]
@@ -343,15 +358,18 @@ def gene_totals_complement(spark, sf_dir):
     return pairs.totals(_y(spark, sf_dir), t.features(spark, sf_dir, "gene"))
 
 
+def _pairs(spark, sf_dir, once):
+    return pairs.count_pairs(_y(spark, sf_dir), pairs.lists_of(t.members(spark, sf_dir, once)), t.pairs(spark, sf_dir), complement=False)
+
+
 @register("pair_qc_nt_sum", _pair_oracle(_SUM, "coalesce(tot.n, 0)"))
 def pair_qc_nt_sum(spark, sf_dir):
-    return pairs.pair_counts(_y(spark, sf_dir), t.groups(spark, sf_dir), t.pairs(spark, sf_dir), t.controls(spark, sf_dir))
+    return _pairs(spark, sf_dir, once=False)
 
 
 @register("pair_qc_nt", _pair_oracle(_DISTINCT, "coalesce(tot.n, 0)"))
 def pair_qc_nt(spark, sf_dir):
-    once = t.controls(spark, sf_dir).select("cell_idx").distinct()
-    return pairs.pair_counts(_y(spark, sf_dir), t.groups(spark, sf_dir), t.pairs(spark, sf_dir), once)
+    return _pairs(spark, sf_dir, once=True)
 
 
 @register("pair_qc_complement", _pair_oracle(_ALL, "coalesce(tot.n, 0) - coalesce(trt.n, 0)"))
@@ -359,11 +377,47 @@ def pair_qc_complement(spark, sf_dir):
     return pairs.pair_counts(_y(spark, sf_dir), t.groups(spark, sf_dir), t.pairs(spark, sf_dir))
 
 
+def _stored_qc(spark, sf_dir, complement):
+    """All counts of pair quality control by one call on a stored matrix, with lists given by position."""
+    path = f"{scratch(spark)}/gene.mat"
+    store.write_matrix(t.entries(spark, sf_dir, "gene"), t.features(spark, sf_dir, "gene"), path, "gene", t.read(spark, sf_dir, "orders").count(), 0)
+    use = t.positions_in_use(spark, sf_dir)
+    treated = t.groups(spark, sf_dir).join(use, "cell_idx").select("group_id", "pos")
+    controls = t.controls(spark, sf_dir).join(use, "cell_idx")
+    asked = t.pairs(spark, sf_dir)
+    m = open_matrix(spark, path)
+    if complement:
+        return m.pair_qc(use, treated, controls.select("nt_id", "pos"), asked)
+    every = rows.numbered(controls.select("cell_idx", F.col("pos").alias("at")).distinct()).select("cell_idx", F.col("pos").alias("nt_pos"), F.col("at").alias("pos"))
+    listed = controls.select("nt_id", "cell_idx").join(every, "cell_idx").select("nt_id", "nt_pos")
+    return m.pair_qc(use, treated, listed, asked, every.select("nt_pos", "pos"))
+
+
+@register("stored_pair_qc", _pair_oracle(_SUM, "coalesce(tot.n, 0)"))
+def stored_pair_qc(spark, sf_dir):
+    return _stored_qc(spark, sf_dir, complement=False).pairs
+
+
+@register("stored_pair_qc_complement", _pair_oracle(_ALL, "coalesce(tot.n, 0) - coalesce(trt.n, 0)"))
+def stored_pair_qc_complement(spark, sf_dir):
+    return _stored_qc(spark, sf_dir, complement=True).pairs
+
+
+@register("stored_nt_matrix", f"""WITH {_QC}, m AS (SELECT nt_id, f, count(*) n FROM y JOIN controls USING (c) GROUP BY 1, 2), tot AS ({_SUM})
+SELECT DISTINCT controls.nt_id, feature_idx, CAST(coalesce(m.n, 0) AS BIGINT) AS n_nonzero, CAST(coalesce(tot.n, 0) AS BIGINT) AS n_nonzero_tot
+FROM controls CROSS JOIN genes LEFT JOIN m ON m.nt_id = controls.nt_id AND m.f = feature_idx LEFT JOIN tot ON tot.f = feature_idx""")
+def stored_nt_matrix(spark, sf_dir):
+    got = _stored_qc(spark, sf_dir, complement=False)
+    return got.matrix.join(got.totals, "feature_idx")
+
+
 # -- round trips through files -----------------------------------------------
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/rowloom-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share; a temporary one only in local mode where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.gettempdir()}/rowloom-{uuid.uuid4().hex}"
 
 
 @register("store_roundtrip_row", _DENSE.replace("coalesce(x, 0)", "CAST(coalesce(x, 0) AS INT)"))
@@ -382,6 +436,46 @@ def matrix_roundtrip(spark, sf_dir):
     return m.entries
 
 
+def _kinds(spark, sf_dir) -> tuple[np.ndarray, list[str]]:
+    """Customers by nation and market segment, as a dense matrix on the driver: two small dimensions."""
+    got = t.read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).collect()
+    segments = sorted({r[1] for r in got})
+    x = np.zeros((max(r[0] for r in got) + 1, len(segments)), np.int32)
+    for nation, segment, n in got:
+        x[nation, segments.index(segment)] = n
+    return x, segments
+
+
+@register("memory_kinds", """WITH n AS (SELECT c_nationkey AS i, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS j, count(*) AS x FROM customer GROUP BY c_nationkey, c_mktsegment),
+k AS (SELECT unnest(['bool', 'coo', 'csc', 'csr', 'dense', 'handle', 'list', 'tocoo']) AS kind)
+SELECT kind, CAST(i AS INT) AS feature_idx, CAST(j AS INT) AS cell_idx, CAST(CASE WHEN kind = 'bool' THEN 1 ELSE x END AS INT) AS x FROM n, k""")
+def memory_kinds(spark, sf_dir):
+    """One matrix in every in-memory form, as entries."""
+    x, _ = _kinds(spark, sf_dir)
+    i, j = np.nonzero(x)
+    coo = memory.Coo(x.shape, i, j, x[i, j])
+    by_col = np.lexsort((i, j))
+    kinds = {
+        "dense": x, "list": x.tolist(), "bool": x > 0, "coo": coo,
+        "csr": memory.Csr(x.shape, memory.index_to_pointers(i, x.shape[0]), j, x[i, j].astype(float) + 0.5),
+        "csc": memory.Csc(x.shape, memory.index_to_pointers(j[by_col], x.shape[1]), i[by_col], x[i, j][by_col]),
+        "tocoo": SimpleNamespace(tocoo=lambda: SimpleNamespace(shape=x.shape, row=i, col=j, data=x[i, j])),
+        "handle": ingest.from_matrix(spark, coo, [f"n{k}" for k in range(x.shape[0])], f"{scratch(spark)}/kinds.mat"),
+    }
+    made = [memory.to_entries(spark, m)[1].withColumn("kind", F.lit(k)) for k, m in kinds.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
+@register("appended_batches", f"WITH {_ENTRIES} SELECT 'grna' AS modality, f AS feature_idx, c AS cell_idx, CAST(x AS INT) AS x FROM grna UNION ALL SELECT 'protein', f, c, CAST(x AS INT) FROM protein UNION ALL SELECT 'gene', f, c, CAST(x AS INT) FROM gene")
+def appended_batches(spark, sf_dir):
+    """Entries of stores to which three batches were appended one after another."""
+    base = scratch(spark)
+    for d in _write_mtx(spark, sf_dir, f"{base}/mtx"):
+        append.append_batch(spark, d, f"{base}/out")
+    parts = [open_matrix(spark, f"{base}/out/{m}.mat").entries.withColumn("modality", F.lit(m)) for m in ("gene", "grna", "protein")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _write_mtx(spark: SparkSession, sf_dir: str, out: str) -> list[str]:
     """Driver tables as three Matrix Market directories, each with a third of the cells."""
     names = ["gene", "grna", "protein"]

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.pairs import CONTROL
+from ..operators.rows import numbered
+
 #: Stand-in for the mitochondrial pattern.
 MITO = "(?i)^red "
 #: Guide counts from which a cell is assigned to the guide.
@@ -29,9 +32,13 @@ def _protein(lineitem: DataFrame) -> DataFrame:
     return kinds.withColumn("feature_idx", rank)
 
 
-def entries(spark: SparkSession, sf_dir: str, modality: str) -> DataFrame:
-    """``(feature_idx, cell_idx, x)`` of one modality."""
-    return _summed(_lines(spark, sf_dir, [modality])).drop("modality")
+#: Raw key of the modalities that have one.
+KEYS = {"gene": "l_partkey", "grna": "l_suppkey"}
+
+
+def entries(spark: SparkSession, sf_dir: str, modality: str, feature: int | None = None) -> DataFrame:
+    """``(feature_idx, cell_idx, x)`` of one modality, or of one of its features: then the raw key is filtered in the scan."""
+    return _summed(_lines(spark, sf_dir, [modality], feature=feature)).drop("modality")
 
 
 def all_entries(spark: SparkSession, sf_dir: str, modalities: list[str]) -> DataFrame:
@@ -42,9 +49,11 @@ def all_entries(spark: SparkSession, sf_dir: str, modalities: list[str]) -> Data
     return _summed(_lines(spark, sf_dir, modalities, dealt=True))
 
 
-def _lines(spark: SparkSession, sf_dir: str, modalities: list[str], dealt: bool = False) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, modalities: list[str], dealt: bool = False, feature: int | None = None) -> DataFrame:
     """``(modality, feature_idx, cell_idx, x)`` per line and modality, not summed."""
     li = read(spark, sf_dir, "lineitem")
+    if feature is not None:
+        li = li.where(F.col(KEYS[modalities[0]]) == F.lit(feature).cast("long"))
     columns = {"gene": F.col("l_partkey").cast("int"), "grna": F.col("l_suppkey").cast("int"), "protein": F.col("feature_idx")}
     if "protein" in modalities:
         li = li.join(F.broadcast(_protein(read(spark, sf_dir, "lineitem"))), ["l_returnflag", "l_linestatus"])
@@ -124,7 +133,25 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned(spark, sf_dir).select(F.col("s_nationkey").cast("int").alias("group_id"), "cell_idx").distinct()
 
 
+def members(spark: SparkSession, sf_dir: str, once: bool) -> DataFrame:
+    """``(cell_idx, group_id, times)`` of treatment groups and of the control, from one scan of the guides.
+
+    A control cell counts as often as control guides list it, or ``once``.
+    """
+    nt = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), (F.col("n_regionkey") == 0).alias("nt"))
+    rows = assigned(spark, sf_dir).join(F.broadcast(nt), "s_nationkey", "left")
+    both = F.array_compact(F.array(F.col("s_nationkey").cast("int"), F.when(F.col("nt"), F.lit(CONTROL))))
+    times = F.count("*").alias("times")
+    got = rows.select("cell_idx", F.explode(both).alias("group_id")).groupBy("cell_idx", "group_id").agg(times)
+    return got.withColumn("times", F.when((F.col("group_id") == CONTROL) & F.lit(not once), F.col("times")).otherwise(1))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(feature_idx, group_id)``: the pairs to analyse, every 20th part with every nation."""
-    part = read(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("int").alias("feature_idx"))
+    """``(feature_idx, group_id)``: the pairs to analyse, every part with every nation."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("feature_idx"))
     return part.crossJoin(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("group_id")))
+
+
+def positions_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(cell_idx, pos)``: cells in use and their 1-based positions."""
+    return numbered(cells_in_use(spark, sf_dir))

@@ -17,7 +17,6 @@ COVARIATES = {
 #: Fixed value: names of mitochondrial genes.
 MITO_PATTERN = "(?i)^MT-"
 
-MTX_BODY = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("x", T.DoubleType())])
 BATCHES = T.StructType([
     T.StructField("batch_idx", T.IntegerType()), T.StructField("batch", T.StringType()), T.StructField("path", T.StringType()),
     T.StructField("cell_offset", T.LongType()), T.StructField("n_cells", T.LongType()),

@@ -1,7 +1,9 @@
 """In-memory matrices as entry DataFrames.
 
 Accepted: a dense NumPy array or nested lists; ``Coo(shape, i, j, x)``;
-``Csr(shape, p, j, x)``; ``Csc(shape, p, i, x)``; a DataFrame of entries.
+``Csr(shape, p, j, x)``; ``Csc(shape, p, i, x)``; a DataFrame of entries; a
+handle on a store; any object with a ``tocoo`` method whose result has ``shape``,
+``row``, ``col`` and ``data``, as sparse matrix classes commonly have.
 Values may be integers, reals (truncated) or booleans (true is 1).  Zeros are
 dropped and repeated coordinates summed when entries are normalised.
 """
@@ -67,6 +69,11 @@ def index_to_pointers(i, n: int) -> np.ndarray:
 
 def to_entries(spark: SparkSession, matrix) -> tuple[tuple[int, int], DataFrame]:
     """Shape and ``(feature_idx, cell_idx, x)`` of a matrix; anything else raises ``TypeError``."""
+    if hasattr(matrix, "entries") and hasattr(matrix, "feature_ids"):  # a handle
+        return tuple(matrix.shape), matrix.entries.select("feature_idx", "cell_idx", "x")
+    if hasattr(matrix, "tocoo"):
+        m = matrix.tocoo()
+        matrix = Coo(m.shape, m.row, m.col, m.data)
     if isinstance(matrix, Frame):
         return matrix.shape, matrix.entries.select(*[F.col(c).cast("int").alias(c) for c in ("feature_idx", "cell_idx", "x")])
     if isinstance(matrix, list):

@@ -46,7 +46,18 @@ def append_batch(spark: SparkSession, directory: str, out: str) -> bool:
     k = len(rows) + 1
     features = mtx.read_features(spark, found.features)
     batch = spark.createDataFrame([(k, f"batch_{k}", path, offset, found.header.n_cells)], BATCHES)
+    mtx.check_lengths(spark, [found])
     entries = normalize.tidy(normalize.attach(mtx.scan(spark, [found.matrix]), features, batch)).persist()
+    try:
+        _add(spark, entries, features, found, out, k, offset, directory)
+    finally:
+        entries.unpersist()
+    batch.coalesce(1).write.mode("append").parquet(f"{out}/batches")
+    return True
+
+
+def _add(spark: SparkSession, entries: DataFrame, features: DataFrame, found: mtx.Directory, out: str, k: int, offset: int, directory: str) -> None:
+    """Append one batch's entries to the stores, or make these from the first batch."""
     for m in [r[0] for r in features.groupBy("modality").agg(F.min("row_idx").alias("k")).orderBy("k").collect()]:
         at, own_features = f"{out}/{m}.mat", features.where(F.col("modality") == m).select("feature_idx", "feature_id", "feature_name")
         own = entries.where(F.col("modality") == m).select("feature_idx", "cell_idx", "x")
@@ -65,9 +76,6 @@ def append_batch(spark: SparkSession, directory: str, out: str) -> bool:
         own.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("append").option("compression", "zstd").parquet(f"{at}/entries")
         meta = (store.FORMAT_VERSION, m, handle.shape[0], offset + found.header.n_cells, handle.nnz + own.count(), handle.integer_id)
         spark.createDataFrame([meta], META).coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
-    entries.unpersist()
-    batch.coalesce(1).write.mode("append").parquet(f"{out}/batches")
-    return True
 
 
 def compact(spark: SparkSession, path: str, work: str) -> ExpressionMatrix:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rowloom import from_matrix, ingest_mtx_dirs, open_matrix, write_example
 from rowloom.functions.scalars import batch_of_cell, is_mito, modality_name
+from rowloom.operators import rows
 from rowloom.sources import mtx
 from rowloom.sources.memory import Coo, Frame
 from rowloom.synth import batches_of
@@ -174,3 +175,62 @@ def test_example_is_checked_and_kept_apart(tmp_path):
     for sizes, names in (([3], ["peaks"]), ([3, 3], ["gene", "gene"]), ([3], ["gene", "grna"])):
         with pytest.raises(ValueError):
             write_example(sizes, 4, 1, names, str(tmp_path))
+
+
+def body(path, text, n=(4, 2), nnz=None, head="%%MatrixMarket matrix coordinate integer general\n"):
+    d = write(path, FEATS, n[1], [])
+    lines = [x for x in text.splitlines() if x.strip() and not x.startswith("%")]
+    (path / "matrix.mtx").write_text(f"{head}{n[0]} {n[1]} {len(lines) if nnz is None else nnz}\n{text}")
+    return d
+
+
+def test_white_space_and_comments_in_a_body(spark, tmp_path):
+    d = body(tmp_path / "d", "1  1 5\n\t2 1\t3 \n\n% a comment\n 2   2  4\r\n3 1 1e1\n", head="%%MatrixMarket matrix coordinate real general\n% made by hand\n")
+    got = ingest_mtx_dirs(spark, [d], str(tmp_path / "out"))
+    assert got["gene"][1].tolist() == [5, 0] and got["gene"][2].tolist() == [3, 4] and got["grna"][1].tolist() == [10, 0]
+
+
+@pytest.mark.parametrize("line", ["1 1 abc", "1 1", "1 1 1 1", "x 1 1", "1.5 1 1", "1 1 ,", "99999999999 1 1", '"1" 1 1'])
+def test_lines_that_are_no_entries_raise(spark, tmp_path, line):
+    with pytest.raises(PySparkException, match="not an entry"):
+        ingest_mtx_dirs(spark, [body(tmp_path / "d", f"2 1 1\n{line}\n")], str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("line, why", [("1 3 7", "no cell 3"), ("1 0 7", "no cell 0"), ("5 1 7", "no feature"), ("0 1 7", "no feature")])
+def test_indices_beyond_the_header_raise(spark, tmp_path, line, why):
+    two = [body(tmp_path / "a", f"{line}\n"), body(tmp_path / "b", "1 1 1\n")]
+    with pytest.raises(PySparkException, match=why):
+        ingest_mtx_dirs(spark, two, str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("nnz", [1, 3, 0])
+def test_count_of_entries_must_be_the_header_s(spark, tmp_path, nnz):
+    d = body(tmp_path / "d", "1 1 1\n2 2 2\n", nnz=nnz)
+    with pytest.raises(ValueError, match="and holds 2"):
+        ingest_mtx_dirs(spark, [d], str(tmp_path / "out"))
+    assert ingest_mtx_dirs(spark, [d], str(tmp_path / "out"), check_counts=False)["gene"].nnz == 2
+
+
+def test_a_body_line_equal_to_the_header_stays(spark, tmp_path):
+    d = body(tmp_path / "d", "4 2 1\n", nnz=1)
+    assert ingest_mtx_dirs(spark, [d], str(tmp_path / "out"))["grna"][2].tolist() == [0, 1]
+
+
+def test_numbers_of_cells(spark):
+    cells = [5, 70_000, 65_536, 65_535, 200_000, 0]
+    got = {r.cell_idx: r.pos for r in rows.numbered(spark.createDataFrame([(c,) for c in cells], "cell_idx int")).collect()}
+    assert got == {c: k + 1 for k, c in enumerate(sorted(cells))}
+    assert rows.numbered(spark.createDataFrame([], "cell_idx int")).count() == 0
+
+
+def test_foreign_classes_and_handles(spark, tmp_path):
+    class Foreign:
+        def tocoo(self):
+            class Got:
+                shape, row, col, data = (2, 3), [0, 1], [2, 0], [4, True]
+            return Got
+
+    m = from_matrix(spark, Foreign(), ["a", "b"], str(tmp_path / "m"))
+    assert m[1].tolist() == [0, 0, 4] and m[2].tolist() == [1, 0, 0]
+    again = from_matrix(spark, m, m.feature_ids, str(tmp_path / "again"))
+    assert again.shape == (2, 3) and again["b"].tolist() == [1, 0, 0]

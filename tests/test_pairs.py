@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from rowloom import from_matrix
 from rowloom.operators import pairs
 
 
@@ -46,3 +47,21 @@ def test_against_definitions(spark, seed):
             trt = sum(mask[g][p - 1] for p in groups[k])
             assert got[g, k] == (trt, everything[g] - trt if tot is None else tot[g])
         assert len(got) == len(todo)
+
+
+def test_one_call_on_a_stored_matrix(spark, tmp_path):
+    x = np.array([[1, 0, 2, 3], [0, 0, 0, 1], [5, 5, 5, 5]])
+    m = from_matrix(spark, x, ["a", "b", "c"], str(tmp_path / "m"))
+    use = spark.createDataFrame([(1, 3), (2, 0), (3, 2)], "pos int, cell_idx int")
+    groups = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "group_id int, pos int")
+    asked = spark.createDataFrame([(2, 0), (0, 0), (0, 1), (1, 1), (0, 1)], "feature_idx int, group_id int")
+    all_nt = spark.createDataFrame([(1, 3), (2, 1)], "nt_pos int, pos int")
+    controls = spark.createDataFrame([(7, 1), (7, 2), (8, 2)], "nt_id int, nt_pos int")
+    got = m.pair_qc(use, groups, controls, asked, all_nt)
+    assert {(r.nt_id, r.feature_idx): r.n_nonzero for r in got.matrix.collect()} == {(7, 0): 2, (7, 1): 1, (7, 2): 2, (8, 0): 1, (8, 1): 1, (8, 2): 1}
+    assert {r.feature_idx: r.n_nonzero_tot for r in got.totals.collect()} == {0: 3, 1: 2, 2: 3}
+    assert sorted(map(tuple, got.pairs.collect())) == [(0, 0, 2, 3), (0, 1, 1, 3), (0, 1, 1, 3), (1, 1, 0, 2), (2, 0, 2, 3)]
+    got = m.pair_qc(use, groups, spark.createDataFrame([(7, 1), (7, 2)], "nt_id int, pos int"), asked)
+    assert {r.feature_idx: r.n_nonzero_tot for r in got.totals.collect()} == {0: 3, 1: 1, 2: 3}
+    assert sorted(map(tuple, got.pairs.collect())) == [(0, 0, 2, 1), (0, 1, 1, 2), (0, 1, 1, 2), (1, 1, 0, 1), (2, 0, 2, 1)]
+    assert sorted(r.pos for r in m.positions("a", use).collect()) == [1, 2, 3] and [r.pos for r in m.positions(2, use).collect()] == [1]

@@ -56,3 +56,28 @@ def test_no_query_of_the_engine_runs_python(spark):
     for name in ("pair_qc_nt", "collapsed_covariates", "nt_nonzero_matrix", "row_ptr", "grna_assignment"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(plan, table):
+    return [x for x in plan.splitlines() if "Scan parquet" in x and f"{table}.parquet" in x]
+
+
+@pytest.mark.parametrize("name, key", [("row_by_index", "l_partkey"), ("row_by_feature_id", "l_partkey"), ("row_sparse", "l_partkey"), ("threshold_row", "l_suppkey"), ("masked_row", "l_partkey"), ("masked_positions", "l_partkey")])
+def test_row_lookups_filter_in_the_scan(spark, name, key):
+    (line,) = scans(plan_of(registry.QUERIES[name](spark, SF)), "lineitem")
+    assert f"EqualTo({key},{registry.ROW})" in line
+
+
+@pytest.mark.parametrize("name, lines", [("pair_qc_nt", 2), ("pair_qc_nt_sum", 2), ("pair_qc_complement", 2)])
+def test_pair_counts_scan_responses_and_guides_once(spark, name, lines):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert len(scans(plan, "lineitem")) == lines and plan.count("Exchange") <= 16
+
+
+def test_pairs_cover_every_part_and_nation(spark):
+    want = spark.read.parquet(f"{SF}/part.parquet").count() * spark.read.parquet(f"{SF}/nation.parquet").count()
+    assert registry.QUERIES["pair_qc_nt"](spark, SF).count() == want
