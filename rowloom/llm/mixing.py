@@ -8,19 +8,25 @@ form with running sums over one row per source).
 
 Within a source every document has the same expected number of copies, target /
 source size.  The documents are laid out by size, then by a hash bucket of the
-id, then by id; the prefix sum of expected copies is taken, one offset drawn
-from a hash of the seed and the source is added, and a document is emitted once
-for each integer boundary its stretch crosses.  Laying out by size keeps the
-words taken within about one document's size of the target.
+id, then by id and a hash of the row; the prefix sum of expected copies is taken,
+an offset added, and a document is emitted once for each integer boundary its
+stretch crosses.  Laying out by size keeps the words taken within about one
+document's size of the target.  The offset is drawn from a hash of the seed and
+the source; of it and ``OFFSETS - 1`` others spaced evenly from it, the one whose
+words come nearest the target is used, which matters where a source has few
+documents.
 
 The prefix sum needs no sort of a whole source: counts by (source, size,
 bucket) give each bucket's base, and only rows of one bucket are ordered
 together, so a hot source, or a hot size in it, spreads over ``16 ** HEX``
-buckets.
-
-A null text has size 0; a null source is a source of its own; a null id counts
-as an empty one in the bucket hash and sorts first; equal rows are exchangeable;
-a corpus without words takes nothing; an empty table gives an empty result.
+buckets.  Texts are read once and never shuffled here: all steps work on short
+rows, written to the shared folder after the words are counted.
+
+A null text has size 0; a text of any length is counted whole; a null source is a
+source of its own; a null id counts as an empty one in the bucket hash and sorts
+first; equal rows are exchangeable; a corpus without words takes nothing; an
+empty table gives an empty result; other columns are read only for the hash of
+the row, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import BROADCAST_ROWS, WORD, cut
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "rowloom-mix"
 #: Hex digits of the md5 that make a bucket.
 HEX = 2
+#: Offsets tried for each source.
+OFFSETS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -58,16 +66,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return rows.select("source", "source_size", F.when(F.col("free"), shared).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), seed: str = SEED) -> DataFrame:
-    """Every row with ``(doc_id, size, source_size, target, copies, taken)``, after the ``keep`` columns.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """``(doc_id, row_hash, size, source_size, target, copies, taken)`` of every row.
 
-    ``keep`` names columns of ``df`` to carry along, as ``keep.<name>``.
+    ``row_hash`` covers all columns of ``df``: with the id it finds the row again.
     """
     bucket = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HEX)
-    kept = [F.struct(*[F.col(c) for c in keep]).alias("keep")] if keep else []
-    docs = df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), bucket.alias("bucket"), *kept
-    )
+    docs = cut(df.select(
+        F.col(id_col).alias("doc_id"), row_hash(df).alias("row_hash"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), bucket.alias("bucket")
+    ))
     counts = docs.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("m"))
     first = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,11 +88,51 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     base = null_safe(base, plan, "source")
     base = base.select("source", "size", "bucket", (F.col("at_size") + F.col("at_bucket")).alias("base"), "source_size", "target", "u", "r")
     rows = null_safe(docs, base, "source", "size", "bucket")
-    rank = F.col("base") + F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
-    rows = rows.withColumn("rank", rank)
-    crossed = F.floor(F.col("r") * F.col("rank") + F.col("u")) - F.floor(F.col("r") * (F.col("rank") - 1) + F.col("u"))
-    rows = rows.withColumn("copies", F.least(F.lit(MAX_REPEAT).cast("long"), crossed))
-    return rows.select(*(["keep.*"] if keep else []), *[c for c in ["doc_id"] if c not in keep], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", "row_hash"))
+    rows = cut(rows.select("doc_id", "row_hash", "source", "size", "source_size", "target", "u", "r", rank.alias("rank")))
+    # words taken under each offset: partial sums, one row a source
+    tried = [F.sum(copies(F.col("r"), F.col("rank"), shifted(F.col("u"), F.lit(k))) * F.col("size")) for k in range(OFFSETS)]
+    found = rows.groupBy("source", "target").agg(F.array(*tried).alias("words"))
+    far = F.transform("words", lambda w, k: F.struct(F.abs(w - F.col("target")).alias("d"), k.alias("k")))
+    best = found.select("source", F.array_min(far)["k"].alias("best"))
+    rows = null_safe(rows, F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, "source")
+    rows = rows.withColumn("copies", copies(F.col("r"), F.col("rank"), shifted(F.col("u"), F.col("best"))))
+    return rows.select("doc_id", "row_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def shifted(u: Column, k: Column) -> Column:
+    """The ``k``-th offset after ``u`` round the unit circle."""
+    v = u + k / float(OFFSETS)
+    return F.when(v >= 1.0, v - 1.0).otherwise(v)
+
+
+def copies(r: Column, rank: Column, u: Column) -> Column:
+    """Integer boundaries that a document's stretch crosses."""
+    crossed = F.floor(r * rank + u) - F.floor(r * (rank - 1) + u)
+    return F.least(F.lit(MAX_REPEAT).cast("long"), crossed)
+
+
+def emit(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df``, all columns, as often as ``mixed`` (from ``mix``) takes them.
+
+    Texts are shuffled at most once, by the join.  Rows equal in everything
+    share what they take: each emits its part, the first ones one more.
+    """
+    keys = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")).where("__copies > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    rows = df.select(row, F.col(id_col).alias("__own"), row_hash(df).alias("__h"))
+    rows = rows.join(keys, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))).drop("__own", "__h")
+    alone = rows.where("__n = 1").select("__row", "__copies")
+    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
+    part = F.floor(F.col("__copies") / F.col("__n")) + F.when(place <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
+    several = rows.where("__n > 1").select("__row", part.alias("__copies")).where("__copies > 0")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))
+    return alone.unionByName(several).select("__row", again).select("__row.*")
 
 
 def by_source(counts: DataFrame) -> DataFrame:
@@ -128,11 +175,17 @@ plan AS (
          CAST(CAST('0x' || substr(md5('{SEED}|' || coalesce(source, '\\N')), 1, 4) AS BIGINT) AS DOUBLE) / 65536.0 AS u
   FROM running),
 ranked AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.u,
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.u,
          CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0.0 END AS r,
          row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.bucket, d.doc_id) AS k
-  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+offsets AS (SELECT source, target, o, CASE WHEN u + o / {OFFSETS}.0::DOUBLE >= 1 THEN u + o / {OFFSETS}.0::DOUBLE - 1 ELSE u + o / {OFFSETS}.0::DOUBLE END AS v
+  FROM plan, (SELECT unnest(range({OFFSETS})) AS o)),
+tried AS (
+  SELECT f.source, f.o, any_value(f.v) AS v, abs(sum(least({MAX_REPEAT}, floor(r * k + v) - floor(r * (k - 1) + v)) * size) - any_value(f.target)) AS d
+  FROM ranked JOIN offsets f ON ranked.source IS NOT DISTINCT FROM f.source GROUP BY f.source, f.o),
+best AS (SELECT source, v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d, o) AS n FROM tried) WHERE n = 1)
 SELECT doc_id, size, source_size, target,
-       CAST(least({MAX_REPEAT}, floor(r * k + u) - floor(r * (k - 1) + u)) AS BIGINT) * size AS taken
-FROM ranked
+       CAST(least({MAX_REPEAT}, floor(r * k + v) - floor(r * (k - 1) + v)) AS BIGINT) * size AS taken
+FROM ranked JOIN best ON ranked.source IS NOT DISTINCT FROM best.source
 """

@@ -43,9 +43,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emit every document as often as the mix takes it."""
-    got = mixing.mix(docs, keep=tuple(COLUMNS)).where("copies > 0")
-    return got.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy")).select(COLUMNS)
+    """Emit every document as often as the mix takes it: equal rows share what they take; without words nothing stays."""
+    docs = docs.select(COLUMNS)
+    return mixing.emit(docs, mixing.mix(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

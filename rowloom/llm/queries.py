@@ -32,7 +32,7 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "row_hash")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
