@@ -23,8 +23,14 @@ their ids remembered (prose repeats its words), so that the library encodes
 each pre-token once per worker.  Python's pattern engine and the library agree
 on the code points in ``KNOWN``; a leaf with any other is split by the library.
 
+The parts of a long text go to the library in one call, which encodes them side
+by side where a task owns several cores.
+
 A null text counts as empty; an empty text has no tokens; texts of any length
-are encoded whole; an empty table gives an empty result.
+are encoded whole; equal texts, repeated rows among them, get equal ids, and
+where two merges are equally good the library's order holds; an empty table
+gives an empty result; columns other than id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ from __future__ import annotations
 import hashlib
 import os
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections import ChainMap
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import regex
@@ -93,7 +100,7 @@ class TreeCodec:
             out[k] = b"".join(map(ids.__getitem__, x))
         return out
 
-    def _remembered(self, pieces: set[str]) -> dict[str, bytes]:
+    def _remembered(self, pieces: set[str]) -> Mapping[str, bytes]:
         """A table that has the packed ids of all these pre-tokens."""
         memo = self.memo
         missing = [p for p in pieces if p not in memo]
@@ -104,7 +111,7 @@ class TreeCodec:
             missing = list(pieces)
         got = {p: _packed(e.ids) for p, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False))}
         memo.update((p, ids) for p, ids in got.items() if len(p) <= MEMO_CHARS)
-        return memo if all(len(p) <= MEMO_CHARS for p in missing) else memo | got
+        return memo if all(len(p) <= MEMO_CHARS for p in missing) else ChainMap(got, memo)
 
     def encode_long(self, text: str) -> list[int]:
         """Ids of one long text."""

@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline.
+
+Each works on the columns of ``documents`` alone, whatever others a table has;
+texts of any length are taken whole, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +19,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in which a language is recognised."""
+    """Keep the documents in which a language is recognised.
+
+    Null, empty and letterless texts go, as do texts in no learned language;
+    without languages to learn from all go.  Repeated rows share their fate.
+    """
     return langid.recognised(docs.select(COLUMNS), langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of 5-word Jaccard similarity 0.8 or more: the one with the smallest id."""
+    """Keep one document of each class of 5-word Jaccard similarity 0.8 or more: the one with the smallest id.
+
+    Null and empty texts are one class, a null id comes last, rows with the same
+    id follow by a hash of the text, and of equal rows one stays.
+    """
     return shingles.one_of_each(docs.select(COLUMNS))
 
 
@@ -49,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and decoded text."""
+    """Number and digest of the token ids of every document, and the digest of the decoded text; a null text is empty."""
     return bpe.encode_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

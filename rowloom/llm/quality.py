@@ -9,11 +9,15 @@ All trees are flattened into arrays (feature, threshold, left, right, value) and
 scored together, one level at a time.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents, taken by a hash of
-their id; only their statistics reach the driver.
-
-A null text has no words and fails; repeated rows get equal results; without
-labels of both kinds the base rules alone decide; an empty table gives an empty
-result.
+their id; only their statistics reach the driver.  If an id has several texts,
+the one with the smallest hash is learnt; if it has several labels, 1 counts.
+
+A null text has no words and fails, as does an empty one; a text of any length is
+counted whole, in time linear in it but for a sort; equal gains go to the split
+tried first, by feature then threshold; repeated rows get equal results; a null
+id is judged and never learnt; without labels of both kinds the base rules alone
+decide; an empty table gives an empty result; columns other than id, text and
+labels are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,7 +162,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     def make():
         return lambda texts: [[np.array(statistics(t)[1]).tobytes() for t in texts]]
 
-    got = map_texts(rows, [F.col("doc_id"), F.col("q").cast("int").alias("q")], F.col("t"), [("x", "binary")], make).dropDuplicates(["doc_id"]).toArrow()
+    keep = [F.col("doc_id"), F.xxhash64("t").alias("h"), F.col("q").cast("int").alias("q")]
+    got = map_texts(rows, keep, F.col("t"), [("x", "binary")], make)
+    got = got.groupBy("doc_id").agg(F.min(F.struct("h", "q", "x")).alias("m")).select("doc_id", "m.q", "m.x").toArrow()
     y = np.array(got.column("q").to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return None

@@ -20,9 +20,14 @@ fingerprint leaves the unvisited set, and one edge per member to the smallest
 member of its part goes out.  Exact copies are collapsed to one fingerprint
 before any shuffle of index rows, so a group holds distinct fingerprints only.
 
-Null and empty texts have fingerprint zero and link like any other; repeated
-rows get the same class; an empty table gives an empty result.  A class whose
-documents all have a null id has a null ``component_id``.
+Null and empty texts have fingerprint zero and link like any other; a text of any
+length is hashed whole, block by block; a bit with as many votes for as against
+is 0; repeated rows get the same class; an empty table gives an empty result; a
+class whose documents all have a null id has a null ``component_id``; columns
+other than id and text are not read, whatever their names.
+
+The search of one index group runs in one task and holds its distinct
+fingerprints.  Keys that many rows share are otherwise dealt in slices.
 """
 
 from __future__ import annotations

@@ -17,11 +17,17 @@ into the score, so that 0.5 is every language's threshold.  A text's language
 is judged from its own function words; no column but the text enters a score.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents outside the held-out
-fold, taken by a hash of their id; only their hashed words reach the driver.
-
-A null or empty text has a score too (that of no words); repeated rows score
-alike; without labels of both kinds every score is 0; an empty table gives an
-empty result.
+fold, taken by a hash of their id, and leaves out those of over ``TRAIN_CHARS``
+code points; only their hashed words reach the driver, 8 bytes a word.  If an id
+has several texts, the one with the smallest hash is learnt; if it has several
+labels, 1 counts.
+
+A null or empty text has a score too (that of no words); a text of any length is
+scored whole; texts with equal words score alike, repeated rows therefore too;
+equal costs of thresholds are settled by the middle one; a null id is scored and
+never learnt; without labels of both kinds every score is 0; an empty table gives
+an empty result; columns other than id, text and labels are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from .common import fold, map_texts, unit_hash
 
 BUCKETS = 1 << 20
 TRAIN_ROWS = 5000
+TRAIN_CHARS = 20_000
 MIN_DOCS = 3
 PREFIX = 5
 WIDTHS = (1, 2, 3)
@@ -204,12 +211,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if held_out:
         ids = ids.where(fold(F.col("doc_id"), held_out[0]) != held_out[1])
     ids = ids.orderBy(unit_hash(F.col("doc_id"), F.lit(2)), "doc_id").limit(train_rows)
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("i") == F.col("doc_id"))
+    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.coalesce(F.char_length("t"), F.lit(0)) <= TRAIN_CHARS)
+    rows = rows.join(F.broadcast(ids), F.col("i") == F.col("doc_id"))
 
     def make():
         return lambda texts: [[hashed(t).tobytes() for t in texts]]
 
-    got = map_texts(rows, [F.col("doc_id"), F.col("y").cast("int").alias("y")], F.col("t"), [("x", "binary")], make).dropDuplicates(["doc_id"]).toArrow()
+    keep = [F.col("doc_id"), F.xxhash64("t").alias("h"), F.col("y").cast("int").alias("y")]
+    got = map_texts(rows, keep, F.col("t"), [("x", "binary")], make)
+    got = got.groupBy("doc_id").agg(F.min(F.struct("h", "y", "x")).alias("m")).select("doc_id", "m.y", "m.x").toArrow()
     y = np.array(got.column("y").to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return None
