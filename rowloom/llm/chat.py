@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Stands for a line end inside a role.
@@ -273,7 +273,7 @@ def digests(rendered: DataFrame) -> DataFrame:
     ship(rendered.sparkSession)
     ordered = rendered.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
     return ordered.select("conv_id", "formatted").mapInArrow(
-        read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+        tidy(read_back), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, map_texts, salted_join, ship, small
+from .common import SLICE_ROWS, cut, map_texts, salted_join, ship, small, tidy
 from .simhash import SEED, connected_components, shingle_hashes, simhash_of
 
 WORDS = 5
@@ -96,7 +96,7 @@ def link_edges(grouped: DataFrame, least: float = LEAST) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         now, nodes, sets = None, [], []
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             for key, node, sh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if key != now:
                     if len(nodes) > 1:
@@ -109,7 +109,7 @@ def link_edges(grouped: DataFrame, least: float = LEAST) -> DataFrame:
 
     ship(grouped.sparkSession)
     rows = grouped.select("key", "node", "sh").repartition("key").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(run, "u bigint, v bigint").distinct()
+    return rows.mapInArrow(tidy(run), "u bigint, v bigint").distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:

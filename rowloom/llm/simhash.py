@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, salted_join, ship
+from .common import cut, map_texts, salted_join, ship, tidy
 
 SEED = 42
 MAX_DIFF = 4
@@ -203,9 +203,9 @@ def link_edges(fps: DataFrame, direct: bool = False) -> DataFrame:
             yield flush(np.concatenate(parts_k), np.concatenate(parts_f))
 
     ship(fps.sparkSession)
-    rows = fps.select("fp").mapInArrow(emit, "key bigint, fp bigint")
+    rows = fps.select("fp").mapInArrow(tidy(emit), "key bigint, fp bigint")
     rows = rows.repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(search, "u bigint, v bigint").distinct()
+    return rows.mapInArrow(tidy(search), "u bigint, v bigint").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
