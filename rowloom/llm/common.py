@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (unit tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only in local mode, where the session has none (unit tests on one machine),
+    a temporary folder is made and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="rowloom-")
     if not sc.getCheckpointDir():

@@ -68,22 +68,41 @@ def band_keys(sh: np.ndarray) -> np.ndarray:
 
 
 def search(nodes: list[int], sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """Breadth-first search of one group: an edge from each reached node to the smallest of its part."""
+    """Breadth-first search of one group: an edge from each reached node to the smallest of its part.
+
+    Two sets of similarity ``least`` share one of their rarest shingles, taken
+    from each set in the same order: all but ``least`` of the set, and one more.
+    Only sets that do are compared, so a group that shares much but not enough
+    is searched without comparing all with all.
+    """
     order = sorted(range(len(nodes)), key=nodes.__getitem__)
+    nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
     sizes = np.array([len(s) for s in sets])
-    out: list[tuple[int, int]] = []
-    while order:
-        first, queue, order = order[0], [order[0]], order[1:]
-        while queue and order:
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare = np.lexsort((word, times[word], owner))  # by set, then the rarest first
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    width = np.where(sizes > 0, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, 0)
+    ahead = np.arange(len(rare)) - starts[owner] < width[owner]
+    own = word[rare][ahead]  # the sets' rarest shingles, set by set
+    own_starts = np.concatenate(([0], np.cumsum(width)))
+    by_word = np.argsort(own, kind="stable")
+    holders, bounds = owner[ahead][by_word], np.searchsorted(own[by_word], np.arange(len(times) + 1))
+    waiting, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        queue = [first]
+        while queue and waiting.any():
             a = queue.pop()
-            n, rest = sizes[a], []
-            for b in order:
-                if min(n, sizes[b]) >= least * max(n, sizes[b]) and jaccard(sets[a], sets[b]) >= least:
+            seen = [holders[bounds[w] : bounds[w + 1]] for w in own[own_starts[a] : own_starts[a + 1]]]
+            some = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+            for b in some[waiting[some]].tolist():
+                if min(sizes[a], sizes[b]) >= least * max(sizes[a], sizes[b]) and jaccard(sets[a], sets[b]) >= least:
                     out.append((nodes[b], nodes[first]))
+                    waiting[b] = False
                     queue.append(b)
-                else:
-                    rest.append(b)
-            order = rest
     return out
 
 

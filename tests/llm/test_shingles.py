@@ -75,6 +75,32 @@ def test_links_are_verified(spark):
     assert sorted(map(tuple, got)) == [(1, 0), (2, 0)]
 
 
+def test_search_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        common = rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+        sets = [np.zeros(0, np.uint64)]
+        for _ in range(25):
+            keep = common[rng.random(60) < rng.choice([0.5, 0.85, 0.95])]
+            sets.append(np.unique(np.append(keep, rng.integers(0, 1 << 60, rng.integers(1, 12), dtype=np.uint64))))
+        sets += [s[1:] for s in sets[1:6]] + [s[: int(0.8 * len(s))] for s in sets[6:9]]
+        nodes = rng.permutation(len(sets)).tolist()
+        root = list(range(len(sets)))
+
+        def find(a):
+            return a if root[a] == a else find(root[a])
+
+        for a in range(len(sets)):
+            for b in range(a):
+                if shingles.jaccard(sets[a], sets[b]) >= 0.8:
+                    root[find(a)] = find(b)
+        parts = {}
+        for a in range(len(sets)):
+            parts.setdefault(find(a), []).append(nodes[a])
+        want = {(v, min(p)) for p in parts.values() for v in p if v != min(p)}
+        assert set(shingles.search(nodes, sets)) == want
+
+
 def test_group_of_near_copies_gives_one_edge_a_member():
     base = np.arange(1000, dtype=np.uint64)
     sets = [np.sort(np.append(base, np.uint64(5000 + k))) for k in range(200)]

@@ -12,7 +12,7 @@ docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long,
 assert quality.assess(docs, None).count() == 2
 assert {{r.component_id for r in simhash.near_duplicates(docs).collect()}} == {{1}}
 assert langid.recognised(docs, None).count() == 0
-assert chat.digests(chat.render(chat.canonical_turns(chat.probe(spark), "conv_id", "record"))).count() == 1
+assert chat.digests(chat.render(chat.canonical_json(chat.probe(spark), "conv_id", "record"))).count() == 1
 print("shipped")
 """
 
