@@ -286,6 +286,16 @@ def column_sorted(spark, sf_dir):
     return memory.ordered(t.entries(spark, sf_dir, "gene"), by_row=False)
 
 
+@register("column_order", f"""WITH {_ENTRIES} SELECT c AS cell_idx, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS out_of_order FROM gene GROUP BY c""")
+def column_order(spark, sf_dir):
+    """Per cell, how many of its entries do not stand behind the one before them in the ordered table."""
+    at = F.monotonically_increasing_id()  # rises along the partitions, which are ranges
+    rows_ = memory.ordered(t.entries(spark, sf_dir, "gene"), by_row=False).withColumn("at", at)
+    before = Window.partitionBy("cell_idx").orderBy("feature_idx")
+    wrong = (F.lag("at").over(before) > F.col("at")).cast("long")
+    return rows_.withColumn("wrong", wrong).groupBy("cell_idx").agg(F.count("*").alias("n"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("out_of_order"))
+
+
 # -- vectors -----------------------------------------------------------------
 _VEC = f"""WITH {_ENTRIES},
 vecs AS (SELECT s_nationkey, CAST(row_number() OVER (ORDER BY s_nationkey) - 1 AS INT) AS v FROM (SELECT DISTINCT s_nationkey FROM supplier)),
@@ -379,13 +389,11 @@ def pair_qc_complement(spark, sf_dir):
 
 def _stored_qc(spark, sf_dir, complement):
     """All counts of pair quality control by one call on a stored matrix, with lists given by position."""
-    path = f"{scratch(spark)}/gene.mat"
-    store.write_matrix(t.entries(spark, sf_dir, "gene"), t.features(spark, sf_dir, "gene"), path, "gene", t.read(spark, sf_dir, "orders").count(), 0)
     use = t.positions_in_use(spark, sf_dir)
     treated = t.groups(spark, sf_dir).join(use, "cell_idx").select("group_id", "pos")
     controls = t.controls(spark, sf_dir).join(use, "cell_idx")
     asked = t.pairs(spark, sf_dir)
-    m = open_matrix(spark, path)
+    m = _stored(spark, sf_dir, "gene")
     if complement:
         return m.pair_qc(use, treated, controls.select("nt_id", "pos"), asked)
     every = rows.numbered(controls.select("cell_idx", F.col("pos").alias("at")).distinct()).select("cell_idx", F.col("pos").alias("nt_pos"), F.col("at").alias("pos"))
@@ -420,6 +428,42 @@ def scratch(spark: SparkSession) -> str:
     return f"{base or tempfile.gettempdir()}/rowloom-{uuid.uuid4().hex}"
 
 
+def _stored(spark, sf_dir, modality):
+    """A handle on one modality, written to a store."""
+    path = f"{scratch(spark)}/{modality}.mat"
+    store.write_matrix(t.entries(spark, sf_dir, modality), t.features(spark, sf_dir, modality), path, modality, t.read(spark, sf_dir, "orders").count(), 0)
+    return open_matrix(spark, path)
+
+
+@register("stored_dims", ORACLES["dims"])
+def stored_dims(spark, sf_dir):
+    """Dimensions as handles report them."""
+    got = [_stored(spark, sf_dir, m) for m in ("gene", "grna", "protein")]
+    return spark.createDataFrame([(m.modality, *m.shape, m.nnz) for m in got], "modality string, n_features long, n_cells long, nnz long")
+
+
+@register("stored_feature_ids", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INT) AS row, 'supp_' || s_suppkey AS feature_id FROM supplier")
+def stored_feature_ids(spark, sf_dir):
+    """Row names in order, as a handle reports them."""
+    return spark.createDataFrame(list(enumerate(_stored(spark, sf_dir, "grna").feature_ids, 1)), "row int, feature_id string")
+
+
+@register("stored_rows", f"WITH {_ENTRIES} SELECT f AS feature_idx, c AS cell_idx, CAST(x AS INT) AS x FROM gene WHERE f IN ({ROW}, 2, 11)")
+def stored_rows(spark, sf_dir):
+    """Several rows of a stored matrix in one scan, by ID and by 1-based index."""
+    return _stored(spark, sf_dir, "gene").rows_df([ROW_ID, 3, 12])
+
+
+@register("stored_threshold", f"WITH {_ENTRIES} SELECT c + 1 AS cell FROM grna WHERE f = {ROW} AND x >= {t.ASSIGN}")
+def stored_threshold(spark, sf_dir):
+    return _stored(spark, sf_dir, "grna").threshold(ROW + 1, t.ASSIGN)
+
+
+@register("stored_pointers", ORACLES["row_ptr"])
+def stored_pointers(spark, sf_dir):
+    return _stored(spark, sf_dir, "gene").row_pointers()
+
+
 @register("store_roundtrip_row", _DENSE.replace("coalesce(x, 0)", "CAST(coalesce(x, 0) AS INT)"))
 def store_roundtrip_row(spark, sf_dir):
     path = f"{scratch(spark)}/gene.mat"
@@ -509,20 +553,32 @@ def mtx_roundtrip_covariates(spark, sf_dir):
     return got.cellwise_covariates
 
 
-@register("example_roundtrip")
+_EXAMPLE = ([30, 8, 6], 60, 2, ["gene", "grna", "protein"])
+
+
+def _example_oracle() -> str:
+    """What the seeded example holds, read off its dense matrices."""
+    out, made = [], synth.make_example(*_EXAMPLE, seed=3).matrices
+    written = int(np.sum([m.sum() for m in made.values()]))
+    for name, m in made.items():
+        i, j = np.nonzero(m)
+        x = m[i, j].astype(int)
+        out.append(f"('{name}', {len(x)}, {x.sum()}, {(x * (i + 1)).sum()}, {(x * (j + 1)).sum()}, {written})")
+    cols = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("nnz", "x", "by_feature", "by_cell", "written"))
+    return f"SELECT modality, {cols} FROM (VALUES {', '.join(out)}) AS v(modality, nnz, x, by_feature, by_cell, written)"
+
+
+@register("example_roundtrip", _example_oracle())
 def example_roundtrip(spark, sf_dir):
-    """Rows of a seeded example written as Matrix Market directories and read back through the stores."""
+    """Sums of a seeded example written as Matrix Market directories and read back through the stores."""
     base = scratch(spark)
-    local = tempfile.mkdtemp(prefix="rowloom-example-")
-    made = synth.write_example([30, 8, 6], 60, 2, ["gene", "grna", "protein"], local, seed=3)
+    made = synth.write_example(*_EXAMPLE, tempfile.mkdtemp(prefix="rowloom-example-"), seed=3)
     dirs = _share(spark, made.directories, f"{base}/mtx")
     got = ingest.ingest_mtx_dirs(spark, dirs, f"{base}/out", seed=3)
     want = int(np.sum([m.sum() for m in made.matrices.values()]))
-    total = None
-    for name, m in got.matrices.items():
-        part = m.entries.agg(F.count("*").alias("nnz"), F.sum("x").alias("x")).withColumn("modality", F.lit(name))
-        total = part if total is None else total.unionByName(part)
-    return total.withColumn("written", F.lit(want))
+    sums = [F.count("*").alias("nnz"), F.sum("x").alias("x"), F.sum(F.col("x") * (F.col("feature_idx") + 1)).alias("by_feature"), F.sum(F.col("x") * (F.col("cell_idx") + 1)).alias("by_cell")]
+    parts = [m.entries.agg(*sums).withColumn("modality", F.lit(name)) for name, m in got.matrices.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("written", F.lit(want).cast("long"))
 
 
 def _share(spark: SparkSession, directories: list[str], out: str) -> list[str]:
