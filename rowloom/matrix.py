@@ -41,11 +41,11 @@ class ExpressionMatrix:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/entries")
+        return self.spark.read.schema(store.ENTRIES).parquet(f"{self.path}/entries")
 
     @cached_property
     def features(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/features")
+        return self.spark.read.schema(store.FEATURES).parquet(f"{self.path}/features")
 
     @cached_property
     def cells(self) -> DataFrame:

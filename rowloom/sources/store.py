@@ -8,6 +8,8 @@ sit beside it.  No path is stored inside, so a store can be moved.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..schemas import META
 from . import files
 
 FORMAT_VERSION = 1
+ENTRIES = "feature_idx int, cell_idx int, x int"
+FEATURES = "feature_idx int, feature_id string, feature_name string"
 
 
 def codec(compression_level: int) -> str:
@@ -51,15 +55,18 @@ def write_matrices(entries: DataFrame, features: dict[str, DataFrame], out: str,
     dealt = entries.select("modality", *[F.col(c).cast("int").alias(c) for c in (*keys[1:], "x")])
     dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
     dealt.write.mode("overwrite").option("compression", codec(compression_level)).partitionBy("modality").parquet(staged)
-    paths = {}
-    for m, own in features.items():
-        paths[m] = f"{out}/{m}.mat"
+    paths = {m: f"{out}/{m}.mat" for m in features}
+
+    def finish(m: str) -> None:
         files.delete(spark, f"{paths[m]}/entries")
         if files.exists(spark, f"{staged}/modality={m}"):
             files.move(spark, f"{staged}/modality={m}", f"{paths[m]}/entries")
         else:  # a modality without a single entry
-            spark.createDataFrame([], "feature_idx int, cell_idx int, x int").write.parquet(f"{paths[m]}/entries")
-        write_tables(own, paths[m], m, n_cells, integer_id, compression_level)
+            spark.createDataFrame([], ENTRIES).write.parquet(f"{paths[m]}/entries")
+        write_tables(features[m], paths[m], m, n_cells, integer_id, compression_level)
+
+    with ThreadPoolExecutor(len(paths)) as pool:  # small jobs, side by side
+        list(pool.map(finish, paths))
     files.delete(spark, staged)
     return paths
 
@@ -74,14 +81,14 @@ def write_tables(features: DataFrame, path: str, modality: str, n_cells: int, in
     """Features and metadata beside entries that are written already."""
     spark = features.sparkSession
     features.select("feature_idx", "feature_id", "feature_name").coalesce(1).sortWithinPartitions("feature_idx").write.mode("overwrite").option("compression", codec(compression_level)).parquet(f"{path}/features")
-    nnz = spark.read.parquet(f"{path}/entries").count()  # answered from the footers
-    n_features = spark.read.parquet(f"{path}/features").count()
+    nnz = spark.read.schema(ENTRIES).parquet(f"{path}/entries").count()  # answered from the footers
+    n_features = spark.read.schema(FEATURES).parquet(f"{path}/features").count()
     spark.createDataFrame([(FORMAT_VERSION, modality, n_features, n_cells, nnz, integer_id)], META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
     """The one row of ``meta``."""
-    row = spark.read.parquet(f"{path}/meta").first()
+    row = spark.read.schema(META).parquet(f"{path}/meta").first()
     if row is None or row["format_version"] != FORMAT_VERSION:
         raise ValueError(f"{path} is not a matrix store of format {FORMAT_VERSION}")
     return row.asDict()
