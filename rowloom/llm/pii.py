@@ -11,7 +11,7 @@ or more letters, lower-cased) co-occurs with an entity if it stands within
 For a term t and a protected x, PMI(t; x) = log p(x|t) / p(x) is compared with
 the information of x itself, -log p(x): their ratio is the disclosure, 1 if the
 term always announces x.  p counts rows of the whole corpus, on both sides
-alike, so repeating every row changes nothing; the evidence must come from
+alike, so repeating every row changes next to nothing; the evidence must come from
 ``SUPPORT`` different texts, for a kind also from as many entities.  A term with
 a disclosure of ``DISCLOSURE`` or more is marked wherever it stands in the
 corpus.  It is generalised to its first ``PREFIX`` letters if these, taken
@@ -170,9 +170,13 @@ def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosure(n: Column, total: Column, n_x: Column, rows: int) -> Column:
-    """PMI of a term and a protected value over the value's own information."""
+    """PMI of a term and a protected value over the value's own information.
+
+    p(x|t) is estimated as if one more row held the term without the value, so
+    that a term of a few rows must stand beside the value in all of them.
+    """
     p = n_x / F.lit(float(max(rows, 1)))
-    return F.when(p < 1, F.log(F.least(n / total, F.lit(1.0)) / p) / -F.log(p)).otherwise(0.0)
+    return F.when(p < 1, F.log(F.least(n / (total + 1), F.lit(1.0)) / p) / -F.log(p)).otherwise(0.0)
 
 
 def revealing_terms(pairs: DataFrame, counts: DataFrame, rows: int, least: float = DISCLOSURE) -> DataFrame:
