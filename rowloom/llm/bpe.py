@@ -23,8 +23,10 @@ their ids remembered (prose repeats its words), so that the library encodes
 each pre-token once per worker.  Python's pattern engine and the library agree
 on the code points in ``KNOWN``; a leaf with any other is split by the library.
 
-The parts of a long text go to the library in one call, which encodes them side
-by side where a task owns several cores.
+Parts of a text of over ``spread_chars`` code points are encoded in tasks of their
+own, on whatever machines, and joined afterwards; those of a shorter one go to
+the library in one call, which encodes them side by side where a task owns
+several cores.
 
 A null text counts as empty; an empty text has no tokens; texts of any length
 are encoded whole; equal texts, repeated rows among them, get equal ids, and
@@ -36,20 +38,25 @@ their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from bisect import bisect_left
 from collections import ChainMap
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_texts
+from .common import cut, map_texts, tidy
 
 LEAF_CHARS = 16_384
+#: Texts of more code points are cut into parts of at most so many, which separate tasks encode.
+SPREAD_CHARS = 1 << 20
 #: Code points from a pre-token's start or end within which the pattern decides it.
 LOOK = 3
 #: Pre-tokens remembered by a worker, and the longest that are.
@@ -140,12 +147,14 @@ class TreeCodec:
         while max(b - a for a, b in zip(bounds, bounds[1:])) > self.leaf_chars:
             bounds = sorted({*bounds, *((a + b) // 2 for a, b in zip(bounds, bounds[1:]) if b - a > self.leaf_chars)})
         leaves = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-        level = []
         split = [self._split(leaf) for leaf in leaves]
         ids = self._remembered({leaf[s:e] for leaf, spans in zip(leaves, split) for s, e in spans})
-        for a, leaf, spans in zip(bounds, leaves, split):
-            level.append((a, [(a + s, _unpacked(ids[leaf[s:e]])) for s, e in spans]))
-        ends = bounds[1:]
+        level = [(a, [(a + s, _unpacked(ids[leaf[s:e]])) for s, e in spans]) for a, leaf, spans in zip(bounds, leaves, split)]
+        return self.joined(text, level)
+
+    def joined(self, text: str, level: list[tuple[int, list[tuple[int, list[int]]]]]) -> list[tuple[int, list[int]]]:
+        """Pre-tokens of a text from its parts' (start, pre-tokens), joined pairwise up the tree."""
+        ends = [a for a, _ in level[1:]] + [len(text)]
         while len(level) > 1:
             joined, new_ends = [], []
             for k in range(0, len(level) - 1, 2):
@@ -247,7 +256,7 @@ def codec(definition: str, leaf_chars: int = LEAF_CHARS) -> TreeCodec:
     return _cache[key]
 
 
-def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``(doc_id, ids, decoded)``: ids of every whole text, and the text decoded from them.
 
     The definition is read on the driver and broadcast: its size is that of the
@@ -255,36 +264,110 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     only where a task owns several cores (``spark.task.cpus``); else tasks are
     the parallelism and threads would contend for the same cores.
     """
-    return _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest=False)
+    return _apply(df, tokenizer_path, id_col, text_col, leaf_chars, spread_chars, digest=False)
 
 
-def encode_digest(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode_digest(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text."""
-    return _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest=True)
+    return _apply(df, tokenizer_path, id_col, text_col, leaf_chars, spread_chars, digest=True)
 
 
-def _apply(df, tokenizer_path, id_col, text_col, leaf_chars, digest):
+def _apply(df, tokenizer_path, id_col, text_col, leaf_chars, spread_chars, digest):
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        definition = f.read()
+    shared = df.sparkSession.sparkContext.broadcast(definition)
     threads = int(df.sparkSession.conf.get("spark.task.cpus", "1")) > 1
+    special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
 
-    def make():
+    def opened() -> TreeCodec:
         os.environ["TOKENIZERS_PARALLELISM"] = str(threads).lower()
-        c = codec(shared.value, leaf_chars)
+        return codec(shared.value, leaf_chars)
+
+    def results(c: TreeCodec, packed: list[bytes]) -> list[list]:
+        ids = list(map(_unpacked, packed))
+        texts = [c.decode(i) for i in ids]
+        if not digest:
+            return [ids, texts]
+        return [
+            [len(i) for i in ids],
+            [hashlib.sha256(x).hexdigest() for x in packed],
+            [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts],
+        ]
+
+    def make():
+        c = opened()
+        return lambda texts: results(c, c.encode_packed([t or "" for t in texts]))
+
+    out = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if (rows.agg(F.max(F.char_length("text"))).first()[0] or 0) <= spread_chars:
+        return map_texts(rows, [F.col("doc_id")], F.col("text"), out, make)
+    # a special token may lie across a cut, so texts that hold one are not spread
+    held = reduce(lambda a, b: a | b, [F.contains("text", F.lit(t)) for t in special], F.lit(False))
+    far = F.coalesce((F.char_length("text") > spread_chars) & ~held, F.lit(False))
+    near = map_texts(rows.where(~far), [F.col("doc_id")], F.col("text"), out, make)
+    return near.unionByName(_spread(rows.where(far), opened, results, out, spread_chars))
+
+
+def _spread(rows: DataFrame, opened: Callable[[], TreeCodec], results: Callable, out: list[tuple[str, str]], spread_chars: int) -> DataFrame:
+    """Very long texts: their parts are encoded in tasks of their own, and joined one text a time.
+
+    A text is cut into a power of two of parts, which are the upper levels of
+    its tree.  A part's pre-tokens travel as their numbers of code points and of
+    ids, and the packed ids; the task that joins holds one text and its ids.
+    """
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # numbered once: the plan is not run again
+    n = F.char_length("text")
+    rows = rows.withColumn("parts", F.pow(F.lit(2.0), F.ceil(F.log2(n / float(spread_chars)))).cast("int"))
+    rows = rows.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), n.alias("n"), "parts")
+    begin = lambda k: F.floor(F.col("n").cast("long") * k / F.col("parts")).cast("int")
+    piece = F.substring("text", begin(F.col("part")) + 1, begin(F.col("part") + 1) - begin(F.col("part")))
+    pieces = rows.select("doc_id", "row", "part", piece.alias("piece")).repartition("row", "part")
+
+    def make():
+        c = opened()
 
         def one(texts):
-            packed = c.encode_packed([t or "" for t in texts])
-            ids = list(map(_unpacked, packed))
-            texts = [c.decode(i) for i in ids]
-            if not digest:
-                return [ids, texts]
-            return [
-                [len(i) for i in ids],
-                [hashlib.sha256(x).hexdigest() for x in packed],
-                [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts],
-            ]
+            chars, sizes, ids = [], [], []
+            for t in texts:
+                tokens = c._tree(t)
+                starts = [s for s, _ in tokens] + [len(t)]
+                chars.append(np.diff(np.array(starts, "<u4")).astype("<u4").tobytes())
+                sizes.append(np.array([len(x) for _, x in tokens], "<u4").tobytes())
+                ids.append(b"".join(_packed(x) for _, x in tokens))
+            return [texts, chars, sizes, ids]
 
         return one
 
-    out = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digest else [("ids", "array<int>"), ("decoded", "string")]
-    return map_texts(df, [F.col(id_col).alias("doc_id")], F.col(text_col), out, make)
+    kinds = [("text", "string"), ("chars", "binary"), ("sizes", "binary"), ("ids", "binary")]
+    encoded = map_texts(pieces, [F.col("doc_id"), F.col("row"), F.col("part")], F.col("piece"), kinds, make)
+    encoded = encoded.repartition("row").sortWithinPartitions("row", "part")
+    arrow = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    first = encoded.schema["doc_id"].dataType.simpleString()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, now, text, level, kind = None, None, [], [], None
+
+        def done():
+            whole = "".join(text)
+            packed = b"".join(_packed(x) for _, x in c.joined(whole, level))
+            cols = [pa.array([now[0]], type=kind), *[pa.array(v, type=arrow[t]) for v, (_, t) in zip(results(c, [packed]), out)]]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", *[name for name, _ in out]])
+
+        for b in batches:
+            kind, c = b.schema.field(0).type, c or opened()
+            for k in range(b.num_rows):
+                doc, row, _, piece, chars, sizes, ids = (b.column(f)[k].as_py() for f in range(7))
+                if now != (doc, row):
+                    if now is not None:
+                        yield done()
+                    now, text, level = (doc, row), [], []
+                at = sum(map(len, text))
+                starts = at + np.concatenate(([0], np.cumsum(np.frombuffer(chars, "<u4"))))[:-1]
+                ends, flat = np.cumsum(np.frombuffer(sizes, "<u4")), _unpacked(ids)
+                level.append((at, [(int(s), flat[e - m : e]) for s, e, m in zip(starts, ends.tolist(), np.frombuffer(sizes, "<u4").tolist())]))
+                text.append(piece)
+        if now is not None:
+            yield done()
+
+    return encoded.mapInArrow(tidy(join), ", ".join([f"doc_id {first}", *[f"{name} {t}" for name, t in out]]))

@@ -63,3 +63,20 @@ def test_operator(library, tricky, nothing):
     assert bpe.encode_digest(nothing, PATH).count() == 0
     ids = {r.doc_id: r for r in bpe.encode(tricky.where("doc_id = 5"), PATH).collect()}
     assert ids[5].decoded == "a b c"
+
+
+@pytest.mark.parametrize("spread", [40, 700, 9000])
+def test_parts_of_long_texts_in_tasks_of_their_own(spark, library, tricky, spread):
+    rng = random.Random(7)
+    alphabet = ["a", "b", "th", "é", "日", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", "!", "?", " ", "😀"]
+    extra = ["".join(rng.choice(rng.sample(alphabet, 4)) for _ in range(rng.randint(50, 900))) for _ in range(60)]
+    extra += ["x" * 5000, " " * 3000, "ab " * 2000 + "<|endoftext|>" + "cd" * 50, extra[0]]
+    docs = tricky.select("doc_id", "text").union(spark.createDataFrame([(None if k % 9 == 0 else k % 20, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    got = bpe.encode(docs, PATH, leaf_chars=30, spread_chars=spread).collect()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((str(r.doc_id), ids, library.decode(ids, skip_special_tokens=False)))
+    assert sorted((str(r.doc_id), list(r.ids), r.decoded) for r in got) == sorted(want)
+    digests = bpe.encode_digest(docs, PATH, spread_chars=spread)
+    assert digests.count() == len(want) and digests.where("doc_id IS NULL").count() == sum(w[0] == "None" for w in want)
