@@ -13,8 +13,9 @@ the information of x itself, -log p(x): their ratio is the disclosure, 1 if the
 term always announces x.  p counts rows of the whole corpus, on both sides
 alike, so repeating every row changes next to nothing; the evidence must come from
 ``SUPPORT`` different texts, for a kind also from as many entities.  A term with
-a disclosure of ``DISCLOSURE`` or more is marked wherever it stands in the
-corpus.  It is generalised to its first ``PREFIX`` letters if these, taken
+a disclosure of ``DISCLOSURE`` or more that leaves at most one bit open, p(x|t)
+of ``CERTAINTY`` or more, is marked wherever it stands in the corpus; without
+the second condition rarer and rarer hints would do as the corpus grows.  It is generalised to its first ``PREFIX`` letters if these, taken
 together over all terms that begin so, stay below the threshold, else removed.
 
 Null texts count as empty; empty texts have no spans; a text of any length takes
@@ -32,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _TERM = KINDS.index("term")
@@ -50,6 +51,8 @@ CONTEXT = 160
 TERM = r"\p{L}{3,}"
 SUPPORT = 3
 DISCLOSURE = 0.9
+CERTAINTY = 0.5
+FEW = 64
 PREFIX = 3
 #: Accepted terms are broadcast up to this many, and code points in all; beyond, Spark shuffles the join.
 BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 4_000_000
@@ -170,13 +173,13 @@ def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosure(n: Column, total: Column, n_x: Column, rows: int) -> Column:
-    """PMI of a term and a protected value over the value's own information.
+    """PMI of a term and a protected value over the value's own information; 0 if p(x|t) is below ``CERTAINTY``.
 
     p(x|t) is estimated as if one more row held the term without the value, so
     that a term of a few rows must stand beside the value in all of them.
     """
-    p = n_x / F.lit(float(max(rows, 1)))
-    return F.when(p < 1, F.log(F.least(n / (total + 1), F.lit(1.0)) / p) / -F.log(p)).otherwise(0.0)
+    p, given = n_x / F.lit(float(max(rows, 1))), F.least(n / (total + 1), F.lit(1.0))
+    return F.when((p < 1) & (given >= CERTAINTY), F.log(given / p) / -F.log(p)).otherwise(0.0)
 
 
 def revealing_terms(pairs: DataFrame, counts: DataFrame, rows: int, least: float = DISCLOSURE) -> DataFrame:
@@ -195,22 +198,40 @@ def revealing_terms(pairs: DataFrame, counts: DataFrame, rows: int, least: float
     return wide.join(worst, "prefix_term").select("term", F.when(F.col("d") < least, F.concat("prefix_term", F.lit("*"))).alias("general"))
 
 
-def mark_terms(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_terms(df: DataFrame, accepted: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """``(doc_id, text_hash, marked)``: every occurrence of an accepted term, of the rows that have any.
 
-    Positions are worked out only for texts that hold such a term.
+    Positions are worked out only for texts that hold such a term.  A text's
+    terms are looked up in place among ``few`` marked ones; where there are more,
+    they are joined, so that no text takes time quadratic in it.
     """
     def one(m: Column, s: Column, e: Column, before: Column, after: Column) -> Column:
         return F.struct(s.alias("s"), e.alias("e"), F.lower(m).alias("term"))
 
+    def span(x: Column, general: Column) -> Column:
+        return F.struct(x["s"].alias("s"), F.lit(_TERM).alias("k"), x["e"].alias("e"), general.alias("general"))
+
+    def in_place(at: Column, held: Column) -> Column:
+        return let(F.map_from_entries(held), lambda m: F.transform(F.filter(at, lambda x: F.map_contains_key(m, x["term"])), lambda x: span(x, F.element_at(m, x["term"]))))
+
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     held = rows.select("doc_id", "text_hash", F.explode(terms_of(F.col("text"))).alias("term")).join(_small(accepted), "term")
-    held = cut(held.distinct()).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "term": "__term"})
+    held = held.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("term", "general")).alias("held"))
+    held = cut(held.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    hits = rows.join(_small(held.select("__id", "__hash", F.lit("").alias("__term")).distinct()), same, "left_semi")
-    placed = hits.select("doc_id", "text_hash", F.inline(located(F.col("text"), TERM, one)))
-    placed = placed.join(_small(held), same & (F.col("term") == F.col("__term")))
-    return placed.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", F.lit(_TERM).alias("k"), "e", "general")).alias("marked"))
+
+    def hits(own: DataFrame) -> DataFrame:
+        found = rows.join(small(own, F.size("held")), same).dropDuplicates(["doc_id", "text_hash"])
+        return found.select("doc_id", "text_hash", "held", located(F.col("text"), TERM, one).alias("at"))
+
+    marked = hits(held.where(F.size("held") <= few)).select("doc_id", "text_hash", in_place(F.col("at"), F.col("held")).alias("marked"))
+    if held.where(F.size("held") > few).isEmpty():
+        return marked
+    at = hits(held.where(F.size("held") > few)).select("doc_id", "text_hash", F.inline("at"))
+    listed = held.where(F.size("held") > few).select("__id", "__hash", F.inline("held")).withColumnRenamed("term", "__term")
+    joined_ = at.join(listed, same & (F.col("term") == F.col("__term")))
+    spans = F.collect_set(F.struct("s", F.lit(_TERM).alias("k"), "e", "general")).alias("marked")
+    return marked.unionByName(joined_.groupBy("doc_id", "text_hash").agg(spans))
 
 
 def _small(df: DataFrame) -> DataFrame:

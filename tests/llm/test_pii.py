@@ -141,12 +141,26 @@ def test_counts_and_disclosure_equal_brute_force(spark, small):
     assert {tuple(r) for r in pairs.select("k", "entity", "term", "n", "n_x").collect()} == want
     counts = pii.term_counts(docs)
     assert {r.term: r.total for r in counts.collect()} == total
-    judged = {t for k, v, t, c, x in want if x < len(rows) and total[t] and math.log(min(c / (total[t] + 1), 1) / (x / len(rows))) / -math.log(x / len(rows)) >= pii.DISCLOSURE}
+    judged = {t for k, v, t, c, x in want if x < len(rows) and c / (total[t] + 1) >= pii.CERTAINTY and math.log(min(c / (total[t] + 1), 1) / (x / len(rows))) / -math.log(x / len(rows)) >= pii.DISCLOSURE}
     got = {r.term: r.general for r in pii.revealing_terms(pairs, counts, len(rows)).collect()}
     assert set(got) == judged and {"zzcontact", "kwxname"} <= judged
     assert all(g is None or g == t[:3] + "*" for t, g in got.items())
 
 
+def test_marks_in_place_and_joined_are_the_same(spark):
+    rows = [(1, "Alpha beta gamma alpha ALPHAx beta"), (2, None), (None, "beta beta"), (None, "beta beta"), (3, "none of them"), (4, "éalpha alpha\U0001f600beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    accepted = spark.createDataFrame([("alpha", "alp*"), ("beta", None), ("gamma", None)], "term string, general string")
+    want = {
+        (1, "Alpha:alp*,beta:None,gamma:None,alpha:alp*,beta:None"), (None, "beta:None,beta:None"), (4, "alpha:alp*,beta:None"),
+    }
+    texts = dict(rows)
+    for few in (64, 1, 0):
+        got = pii.mark_terms(docs, accepted, few=few).collect()
+        assert len(got) == 3
+        assert {(r.doc_id, ",".join(f"{texts[r.doc_id][m.s : m.e]}:{m.general}" for m in sorted(r.marked, key=lambda m: m.s))) for r in got} == want
+
+
 def test_the_tables_yield_terms(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = pii.report(pii.find(docs)).where("n_term > 0").collect()
