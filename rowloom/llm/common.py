@@ -20,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows handled at once inside a Python worker.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch to and from Python, if the session leaves Spark's default: texts are long rows.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,11 +103,14 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application.
+    """Give executors this package, once per application, and keep Arrow batches small.
 
     Python workers import the operators by name; they need not share the
-    driver's working folder or path.
+    driver's working folder or path.  A batch of Spark's default size holds some
+    tens of megabytes of text, on both sides and for each core.
     """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     root = Path(__file__).resolve().parent.parent
     if spark.sparkContext.applicationId in _shipped or not root.is_dir():  # a zip: submitted with the job
         return

@@ -48,6 +48,8 @@ MAX_DIFF = 4
 WIDTHS = (13, 13, 13, 13, 12)
 _OFFSETS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
 _BLOCK = 1 << 15
+#: Index rows searched at once, at least.
+_GATHER = 1 << 15
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
@@ -193,8 +195,8 @@ def link_edges(fps: DataFrame, direct: bool = False) -> DataFrame:
                 continue
             parts_k.append(k)
             parts_f.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            if k[-1] == parts_k[0][0]:
-                continue  # one group so far: go on gathering
+            if k[-1] == parts_k[0][0] or sum(map(len, parts_k)) < _GATHER:
+                continue  # one group so far, or few rows: go on gathering
             held_k, held_f = np.concatenate(parts_k), np.concatenate(parts_f)
             split = np.searchsorted(held_k, held_k[-1])
             yield flush(held_k[:split], held_f[:split])
