@@ -30,3 +30,8 @@ def test_grid_keeps_repeated_features_and_guides_and_drops_foreign_ones(spark):
     n = {(7, 0): 2, (8, 0): 1, (7, 1): 1}
     assert got == sorted([(i, f, n.get((i, f), 0)) for i in (7, 8, 8, 4, None) for f in (0, 1, 1, 2)], key=str)
     assert pairs.nonzero_matrix(y, controls, features, ids.where("false")).count() == 0
+
+
+def test_totals_beside_the_grid_need_no_join_on_it(spark):
+    above = above_the_grid(plan_of(registry.QUERIES["stored_nt_matrix"](spark, SF)))
+    assert "Exchange" not in above and "Sort" not in above and "Join" not in above
