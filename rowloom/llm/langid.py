@@ -10,8 +10,9 @@ Training uses at most about ``per_language`` documents of each language and
 ``TRAIN_ROWS`` in all, of the ``MAX_LANGUAGES`` languages with most documents,
 taken by a hash of id and text, so that rows without an id are sampled like any
 other.  It reads only their text and language.  Feature vectors of fixed size go
-to the driver: at most ``TRAIN_ROWS`` times 8 KB (96 MB, and three times that
-while it trains); the trained model is 16 KB a machine.
+to the driver: at most ``TRAIN_ROWS`` times 8 KB (96 MB), laid out once for
+training at twice that, of which a machine copies only its own languages' rows;
+the trained model is 16 KB a machine.
 
 A null text and a text without a letter get ``und`` and score 0; so does every
 text if there is nothing to learn from.  A text of any length is read whole;
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, fold, map_texts, ship, unit_hash
+from .common import SLICE_ROWS, fold, give_back, map_texts, ship, unit_hash
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -92,9 +93,12 @@ def features(text: str) -> np.ndarray:
     return x / max(np.linalg.norm(x), 1e-9)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -> np.ndarray:
-    """Linear SVM with squared hinge loss, classes weighted equally; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80, ones: bool = False) -> np.ndarray:
+    """Linear SVM with squared hinge loss, classes weighted equally; the last weight is the bias.
+
+    ``ones``: the last column of ``x`` is the bias's already.
+    """
+    x = x if ones else np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     w = np.zeros(x.shape[1], x.dtype)
     v, step = w.copy(), 1.0 / (1.0 + 4 * c)
@@ -108,26 +112,26 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 80) -
 class Model:
     """Family machines, then one-versus-one machines inside each family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], ones: bool = False):
         self.langs = sorted(set(langs))
         self.families = sorted({family(v) for v in self.langs})
         of = np.array(langs)
         fam = np.array([family(v) for v in langs])
         sign = lambda m: np.where(m, 1.0, -1.0).astype(np.float32)
-        self.family_w = np.array([train_svm(x, sign(fam == f)) for f in self.families]) if len(self.families) > 1 else None
+        self.family_w = np.array([train_svm(x, sign(fam == f), ones=ones) for f in self.families]) if len(self.families) > 1 else None
         self.members = {f: [v for v in self.langs if family(v) == f] for f in self.families}
         self.pairs = {}
         for f, own in self.members.items():
             for a, b in combinations(own, 2):
                 rows = (of == a) | (of == b)
-                self.pairs[a, b] = train_svm(x[rows], sign(of[rows] == a))
-        scores = np.concatenate([self.predict(x[k : k + 1024])[1] for k in range(0, len(x), 1024)])
+                self.pairs[a, b] = train_svm(x[rows], sign(of[rows] == a), ones=ones)
+        scores = np.concatenate([self.predict(x[k : k + 1024], ones)[1] for k in range(0, len(x), 1024)])
         self.floor = FLOOR * float(np.quantile(scores, 0.01))
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each feature row."""
+    def predict(self, x: np.ndarray, ones: bool = False) -> tuple[list[str], np.ndarray]:
+        """Language and score of each feature row; ``ones`` as in ``train_svm``."""
         prob = lambda m: 1 / (1 + np.exp(-4 * m))
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+        x = x if ones else np.hstack([x, np.ones((len(x), 1), x.dtype)])
         if self.family_w is None:
             best, score = np.zeros(len(x), int), np.ones(len(x))
         else:
@@ -153,6 +157,17 @@ class Model:
         return out.tolist(), np.clip(score, 0.0, 1.0)
 
 
+def assemble(rows: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """Feature rows by language, with a last column of ones, and their languages; what came in is not copied on the way."""
+    langs = rows.column("l").to_pylist()
+    cells = [np.frombuffer(c.as_buffer(), np.float16) for c in rows.column("x")]
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], cells[k][:8].astype(np.float32).tobytes()))
+    x = np.ones((len(langs), DIMS + 1), np.float32)
+    for to, k in enumerate(order):
+        x[to, :-1] = cells[k]
+    return x, [langs[k] for k in order]
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = HELD_OUT, per_language: int = PER_LANGUAGE) -> Model | None:
     """Train on a bounded sample of rows with a language; rows of the held-out fold are never read."""
     ids = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -173,13 +188,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
         return one
 
-    rows = map_texts(picked, [F.col("l")], F.col("t"), [("x", "binary")], make).where("x is not null").toArrow()
-    if not rows.num_rows:
-        return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
-    langs = rows.column("l").to_pylist()
-    order = sorted(range(len(langs)), key=lambda k: (langs[k], x[k, :8].tobytes()))
-    return Model(x[order], [langs[k] for k in order])
+    x, langs = assemble(map_texts(picked, [F.col("l")], F.col("t"), [("x", "binary")], make).where("x is not null").toArrow())
+    model = Model(x, langs, ones=True) if langs else None
+    del x
+    give_back(df.sparkSession)
+    return model
 
 
 def _predictor(model: Model | None):
